@@ -108,9 +108,9 @@ WITH RECURSIVE words AS (
   FROM words, LATERAL (SELECT unnest(range(1, greatest(1, len(ws) - 2) + 1)) AS i) WHERE len(ws) > 0
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS (
-  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
 ), links AS (
-  SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * both >= 85 * (x.n + y.n - both)
+  SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * common >= 85 * (x.n + y.n - common)
 ), reach AS (
   SELECT doc_id, doc_id AS r FROM documents
   UNION
