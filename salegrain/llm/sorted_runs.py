@@ -38,6 +38,12 @@ class SortedRuns:
         if sum(map(len, self.levels)) > 1:
             self._compact([run for runs in self.levels for run in runs], len(self.levels))
 
+    def clear(self) -> None:
+        """Delete all runs."""
+        for run in [run for level in self.levels for run in level]:
+            self.scratch.drop(run)
+        self.levels = [[]]
+
     def read(self) -> DataFrame:
         """All runs as one table with unique keys."""
         runs = [run for level in self.levels for run in level]
