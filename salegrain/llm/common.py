@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def workers_can_import(spark: SparkSession) -> None:
+    """Put this package's folder on the Python workers' path, as local runs from other folders need it.
+
+    A cluster gets the package by ``--py-files`` or an installation.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    have = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in have:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+
+
 class Scratch:
     """Written tables below the shared folder: they cut lineage and outlive lost executors."""
 

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import crc_fold, workers_can_import
 from .decontaminate import decontaminate
+from .language_id import identify_languages, learn_languages, training_rows
 from .line_dedup import dedup_lines
 from .near_dedup import near_dedup
 from .packing import pack
 from .pii import BASE_KINDS, find_pii
+from .quality import learn_quality, score_quality
 from .substring_dedup import dedup_substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_can_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +45,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(crc_fold(F.col(doc_id)) == 1, F.lit(False)).alias("held_out")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, learn_languages(training_rows(docs)))
+    return found.select("doc_id", held_out(), "lang_pred", "score", "accepted")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.kind.isin(*BASE_KINDS))
@@ -61,6 +81,8 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_language_id": op2_language_id,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_pii": op4_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
