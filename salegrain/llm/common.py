@@ -81,12 +81,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def documents_of(docs: DataFrame) -> DataFrame:
+def documents_of(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, text and two key columns: ``_id`` (null id: the smallest long) and ``_th`` (hash of the text).
 
-    (``_id``, ``_th``) finds a row again after a shuffle, also where ids are null or repeated.
+    (``_id``, ``_th``) finds a row again after a shuffle, also where ids are null or repeated. With ``carry`` the columns
+    besides text come along in a struct ``_row``, where no name can clash.
     """
+    rest = [F.col(f"`{name}`") for name in docs.columns if name != "text"]
     return docs.select(
+        *([F.struct(*rest).alias("_row")] if carry else []),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST_ID)).alias("_id"),

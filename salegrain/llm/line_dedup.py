@@ -84,13 +84,14 @@ class LineIndex:
         )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4, carry: bool = False) -> DataFrame:
     """doc_id, kept (the text without repeated lines), n_lines, n_dropped for every row of ``docs``.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. A key of at least ``min_chars`` code
     points found in at least ``min_docs`` documents loses all its lines but those of the largest doc_id that holds it.
     Null and empty texts are one empty line. Each row counts as a document; a null doc_id counts as the smallest; rows
-    with the same largest doc_id all keep the line. An empty table gives no rows. Other columns are ignored.
+    with the same largest doc_id all keep the line. An empty table gives no rows. Other columns are ignored, or
+    come along in a struct ``_row`` with ``carry``.
 
     The line hashes are written once, cut into ``batches`` by a hash of the id; each batch adds a sorted run.
     """
@@ -102,8 +103,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         index.add(hashes.where(F.col("batch") == batch))
     index.runs.compact()
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = documents_of(docs).join(index.dropped(hashes.drop("batch")).hint("merge"), ["_id", "_th"], "left")
+    joined = documents_of(docs, carry).join(index.dropped(hashes.drop("batch")).hint("merge"), ["_id", "_th"], "left")
     return joined.select(
+        *(["_row"] if carry else []),
         "doc_id",
         F.when(F.col("dropped").isNull(), text).otherwise(without_lines(text, F.col("dropped"))).alias("kept"),
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
