@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold
+from .summing import partition_sums
 from .words import _BASE, _INVERSE, mix, powers, slices, text_arrays
 
 _U = np.uint64
@@ -78,16 +78,10 @@ class Indexing:
         return dims, [1.0 - 2.0 * ((h >> _U(48 + i)) & _U(1)) for i in range(self.nonzeros)]
 
 
-def context_sums(docs: DataFrame, indexing: Indexing, fan_in: int = 64) -> np.ndarray:
-    """For each word slot, the sum of the index vectors of all neighbours in all texts of ``docs``.
+def context_sums(docs: DataFrame, indexing: Indexing) -> np.ndarray:
+    """For each word slot, the sum of the index vectors of all neighbours in all texts of ``docs``."""
 
-    Each task sums its whole partition; the tasks' sums are added up ``fan_in`` at a time, block by block, so that no
-    task holds more than ``fan_in`` blocks. The result has a fixed size.
-    """
-    rows = 256
-    blocks = indexing.slots // rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         dims, signs = indexing.vectors()
         total = np.zeros(indexing.slots * indexing.dims)
         for batch in slices(batches, "text"):
@@ -100,25 +94,9 @@ def context_sums(docs: DataFrame, indexing: Indexing, fan_in: int = 64) -> np.nd
                 for word, near in ((left, right), (right, left)):
                     for dim, sign in zip(dims, signs, strict=True):
                         total += np.bincount(word * indexing.dims + dim[near], sign[near], len(total))
-        part = TaskContext.get().partitionId()
-        cut = [b.tobytes() for b in total.reshape(blocks, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part] * blocks, pa.int32()), pa.array(cut, pa.binary())], names=["block", "part", "sums"])
-
-    def merge(key, table):
-        total = sum(np.frombuffer(x.as_py()) for x in table.column("sums"))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "block int, part int, sums binary"
-    sums = docs.select("text").mapInArrow(run, schema)
-    parts = max(1, docs.select("text").rdd.getNumPartitions())
-    while parts > 1:
-        sums = sums.withColumn("part", F.floor(F.col("part") / fan_in).cast("int"))
-        sums = sums.groupBy("block", "part").applyInArrow(merge, schema)
-        parts = -(-parts // fan_in)
-    out = np.zeros((indexing.slots, indexing.dims))
-    for row in sums.collect():
-        out[row["block"] * rows : (row["block"] + 1) * rows] += np.frombuffer(row["sums"]).reshape(rows, indexing.dims)
-    return out
+        return total
+
+    return partition_sums(docs.select("text"), sums, indexing.slots * indexing.dims).reshape(indexing.slots, indexing.dims)
 
 
 @dataclass

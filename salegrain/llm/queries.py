@@ -15,6 +15,7 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .pii import BASE_KINDS, find_pii
 from .quality import learn_quality, score_quality
+from .secret_scan import scan_secrets
 from .spotsigs import fingerprint, fingerprint_documents
 from .substring_dedup import dedup_substrings
 
@@ -83,6 +84,12 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    spans = F.transform("secrets", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string")))
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.array_join(spans, ",").alias("spans"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_pii": op4_pii,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
