@@ -115,11 +115,13 @@ class QualityModel:
         value, bounds = tokens(*text_arrays(column))
         n = np.diff(bounds)
         out = np.zeros((len(n), self.words.shape[1]))
-        some = np.flatnonzero(n)
-        if len(some):
-            vectors = self.words[(value % _U(len(self.words))).astype(np.int64)]
-            out[some] = np.add.reduceat(vectors, bounds[:-1][some], axis=0, dtype=np.float64) / n[some, None]
-        return out
+        slot = (value % _U(len(self.words))).astype(np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        for at in range(0, len(slot), 1 << 16):
+            own = owner[at : at + (1 << 16)]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            out[own[first]] += np.add.reduceat(self.words[slot[at : at + (1 << 16)]], first, axis=0, dtype=np.float64)
+        return out / np.maximum(1, n)[:, None]
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
