@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """node, component (the smallest node reachable) for every node of ``edges`` (u, v: longs; loops and repeats allowed).
 
     Large-star and small-star steps take turns: each node's neighbours are tied to the smallest node they share, until
@@ -21,21 +21,21 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     step is written to the shared folder. An empty table gives no rows.
     """
     edges = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = scratch.write(edges.distinct(), "edges-0")
+    edges = scratch.write(edges.distinct(), f"{name}-edges-0")
     before, step = _state(edges), 0
     while before[0]:
         step += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        low = scratch.write(low, f"low-{step}")
+        low = scratch.write(low, f"{name}-low-{step}")
         large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = scratch.write(large.distinct(), f"large-{step}")
-        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("low")), f"small-{step}")
+        large = scratch.write(large.distinct(), f"{name}-large-{step}")
+        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("low")), f"{name}-small-{step}")
         small = large.join(low, "u").where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges = scratch.write(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), f"edges-{step}")
+        edges = scratch.write(small.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), f"{name}-edges-{step}")
         after = _state(edges)
-        for name in (f"edges-{step - 1}", f"low-{step}", f"large-{step}", f"small-{step}"):
-            scratch.drop(name)
+        for table in (f"edges-{step - 1}", f"low-{step}", f"large-{step}", f"small-{step}"):
+            scratch.drop(f"{name}-{table}")
         if after == before:
             break
         before = after

@@ -19,11 +19,18 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Banding:
-    """Bins of the one permutation, and how many bands of how many rows are cut from them."""
+    """Bins of a permutation, how many bands of how many rows are cut from them, how many permutations there are, and
+    how many centres a bucket has beyond its first star."""
 
     bins: int = 256
     rows: int = 6
     bands: int = 42
+    permutations: int = 1
+    centres: int = 8
+
+
+#: For buckets too large to be settled by a few centres: a band is shared by far more similar texts only.
+FINE = Banding(rows=16, bands=16, permutations=13, centres=16)
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +105,20 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def band_hashes(sign: np.ndarray, banding: Banding) -> np.ndarray:
-    x = np.broadcast_to(np.arange(1, banding.bands + 1, dtype=_U), (len(sign), banding.bands))
-    cut = sign[:, : banding.bands * banding.rows].reshape(len(sign), banding.bands, banding.rows)
-    for k in range(banding.rows):
-        x = mix(x * _U(0xD1342543DE82EF95) + cut[:, :, k])
-    return x
+def band_hashes(values: np.ndarray, bounds: np.ndarray, banding: Banding) -> np.ndarray:
+    """A row of band hashes for each text; bands of different numbers never share a hash."""
+    parts = []
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for k in range(banding.permutations):
+        if k:
+            values = mix(values + _U(k))
+            values = values[np.lexsort((values, owner))]
+        cut = signatures(values, bounds, banding.bins)[:, : banding.bands * banding.rows].reshape(-1, banding.bands, banding.rows)
+        x = np.broadcast_to(np.arange(1, banding.bands + 1, dtype=_U) + _U(1000 * k + 100_000 * banding.rows), cut.shape[:2])
+        for row in range(banding.rows):
+            x = mix(x * _U(0xD1342543DE82EF95) + cut[:, :, row])
+        parts.append(x)
+    return np.concatenate(parts, axis=1)
 
 
 _SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
@@ -119,8 +134,8 @@ def _sign(banding: Banding, width: int):
             for s in sums:
                 whole = np.append(_U(0), s[:-1])
                 keys.append((whole[bounds[1:]] - whole[bounds[:-1]]).view(np.int64))
-            bands = band_hashes(signatures(values, bounds, banding.bins), banding).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * banding.bands, pa.int32()), pa.array(bands.reshape(-1)))
+            bands = band_hashes(values, bounds, banding).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands.shape[1], pa.int32()), pa.array(bands.reshape(-1)))
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", "bands"])
 
@@ -136,12 +151,72 @@ def _confirm(width: int, percent: int):
                 a, b = (values[bounds[i] : bounds[i + 1]] for values, bounds in sets)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 linked[i] = both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("round"), pa.array(linked)], names=["a", "b", "round", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], names=["a", "b", "linked"])
 
     return run
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Banding = Banding(), rounds: int = 8) -> DataFrame:
+class _Confirmed:
+    """Candidate edges confirmed on full sets, each pair once."""
+
+    def __init__(self, scratch: Scratch, width: int, percent: int):
+        self.scratch, self.width, self.percent = scratch, width, percent
+        self.judged: DataFrame | None = None
+        self._n = 0
+
+    def test(self, pairs: DataFrame, texts: DataFrame) -> None:
+        """Judge ``pairs`` (a, b: ids) with the texts of their rows; pairs judged before are left out."""
+        self._n += 1
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.judged is not None:
+            pairs = pairs.join(self.judged.select("a", "b"), ["a", "b"], "left_anti")
+        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
+            texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
+        )
+        found = both.mapInArrow(_confirm(self.width, self.percent), "a long, b long, linked boolean")
+        found = self.scratch.write(found, f"judged-{self._n}")
+        self.judged = found if self.judged is None else self.judged.unionByName(found)
+
+    def links(self) -> DataFrame:
+        return self.judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _shared_buckets(scratch: Scratch, buckets: DataFrame, name: str) -> DataFrame:
+    """bucket, doc_id, n, central: members of buckets of n > 1. ``central`` sums up n over a document's buckets; it is
+    greatest in the middle of a group of copies."""
+    sizes = scratch.write(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), f"{name}-sizes")
+    shared = scratch.write(buckets.join(sizes.hint("merge"), "bucket"), f"{name}-shared")
+    central = scratch.write(shared.groupBy("doc_id").agg(F.sum("n").alias("central")), f"{name}-central")
+    return shared.join(central, "doc_id").select("bucket", "doc_id", "n", "central")
+
+
+def _star(scratch: Scratch, shared: DataFrame, name: str) -> DataFrame:
+    """Edges of each bucket's members to its most central member."""
+    most = F.max(F.struct("central", (-F.col("doc_id")).alias("low"))).alias("most")
+    centres = scratch.write(shared.groupBy("bucket").agg(most).select("bucket", (-F.col("most.low")).alias("b")), f"{name}-centres")
+    return shared.join(centres.hint("merge"), "bucket").where(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), "b")
+
+
+def _divided(scratch: Scratch, shared: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """The members, with their component so far, of buckets that hold several components."""
+    placed = shared.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = scratch.write(placed, f"{name}-placed")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return scratch.write(placed.join(scratch.write(several, f"{name}-several").hint("merge"), "bucket"), f"{name}-divided")
+
+
+def _several_stars(scratch: Scratch, divided: DataFrame, centres: int, name: str) -> DataFrame:
+    """Edges between components within a bucket: every member's to each of up to ``centres`` centres, which are all
+    members of buckets no larger than that, else the most central of as many random parts of the bucket."""
+    slot = F.when(F.col("n") <= centres, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("bucket", "doc_id"), F.lit(centres)))
+    best = F.max(F.struct("central", "doc_id", "component")).alias("best")
+    chosen = divided.groupBy("bucket", slot.alias("slot")).agg(best)
+    chosen = scratch.write(chosen.select("bucket", F.col("best.doc_id").alias("b"), F.col("best.component").alias("b_component")), f"{name}-chosen")
+    edges = divided.join(chosen.hint("merge"), "bucket").where(F.col("component") != F.col("b_component"))
+    return edges.select(F.col("doc_id").alias("a"), "b")
+
+
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Banding = Banding(), fine: Banding = FINE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     A text's set holds its distinct shingles of ``width`` words (runs of anything but ASCII white space, A-Z
@@ -150,49 +225,42 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Band
     doc_id reachable, kept whether it is the row's own. Rows that share a doc_id are one node. A row with a null doc_id
     links with nothing: its component_id is null and it is kept. An empty table gives no rows.
 
-    Equal sets (by size and 128-bit hash) are one class, and only a class's smallest id goes on. Classes that share a band's bucket get
-    an edge to the bucket's centre, so a bucket of n gives n - 1 edges; every edge is confirmed on the full sets. The
-    members that a centre does not link to form a star of their own in the next round, until none are left or after ``rounds``.
+    Equal sets (by size and 128-bit hash) are one class, and only a class's smallest id goes on. Members of a bucket get
+    edges to its most central member: n - 1 for a bucket of n. Buckets that then still hold several components get
+    a few more centres, all members where the bucket is that small, and edges between components only. Members of larger ones are
+    hashed again into ``fine`` bands, whose buckets are small also within a crowd of half-similar texts. Every edge is
+    confirmed on the full sets; edges grow with the number of members of buckets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     signed = scratch.write(source.mapInArrow(_sign(banding, width), _SIGNED), "signed")
     able = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = able.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.write(classes, "classes")
-    members = able.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep")
+    equal = ["k1", "k2", "n_shingles"]
+    classes = scratch.write(able.groupBy(*equal).agg(F.min("doc_id").alias("rep")), "classes")
+    members = able.select("doc_id", *equal).join(classes.hint("merge"), equal).select("doc_id", "rep")
     members = scratch.write(members.distinct(), "members")
-    firsts = able.join(
-        classes.select("k1", "k2", "n_shingles", F.col("rep").alias("doc_id")), ["k1", "k2", "n_shingles", "doc_id"]
-    )
-    buckets = firsts.select("doc_id", F.posexplode("bands").alias("band", "bucket")).select("doc_id", "bucket")
-    buckets = scratch.write(buckets, "buckets-0")
-    texts = source.where(F.col("doc_id").isNotNull())
-    links = None
-    tested = None
-    for step in range(1, rounds + 1):
-        centres = buckets.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where(F.col("n") > 1)
-        centres = scratch.write(centres.drop("n"), f"centres-{step}")
-        starred = scratch.write(buckets.join(centres, "bucket").where(F.col("doc_id") != F.col("centre")), f"starred-{step}")
-        scratch.drop(f"buckets-{step - 1}")
-        pairs = starred.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct().withColumn("round", F.lit(step))
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        judged = (
-            pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .mapInArrow(_confirm(width, percent), "a long, b long, round int, linked boolean")
-        )
-        judged = scratch.write(judged, f"judged-{step}")
-        tested = judged if tested is None else tested.unionByName(judged)
-        failed = tested.where(~F.col("linked")).select(F.col("a").alias("doc_id"), F.col("b").alias("centre")).distinct()
-        buckets = scratch.write(starred.join(failed, ["doc_id", "centre"]).select("doc_id", "bucket"), f"buckets-{step}")
-        scratch.drop(f"starred-{step}")
-        if not buckets.groupBy("bucket").count().where("count > 1").limit(1).count():
-            break
-    links = tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    parts = connected_components(links, scratch).withColumnRenamed("node", "rep")
+    firsts = able.join(classes.select(*equal, F.col("rep").alias("doc_id")), [*equal, "doc_id"])
+    buckets = scratch.write(firsts.select("doc_id", F.explode("bands").alias("bucket")), "buckets")
+    shared = scratch.write(_shared_buckets(scratch, buckets, "coarse"), "coarse")
+    scratch.drop("buckets")
+    scratch.drop("coarse-shared")
+    # every candidate is one of these: their texts are shuffled once, and kept
+    candidates = scratch.write(shared.select("doc_id").distinct(), "candidates")
+    texts = scratch.write(source.join(candidates.hint("merge"), "doc_id"), "texts")
+    scratch.release()
+
+    confirmed = _Confirmed(scratch, width, percent)
+    confirmed.test(_star(scratch, shared, "coarse"), texts)
+    parts = connected_components(confirmed.links(), scratch, "first")
+    divided = _divided(scratch, shared, parts, "coarse")
+    confirmed.test(_several_stars(scratch, divided, banding.centres, "coarse"), texts)
+    crowd = scratch.write(divided.where(F.col("n") > banding.centres).select("doc_id").distinct(), "crowd")
+    again = texts.join(crowd, "doc_id").mapInArrow(_sign(fine, width), _SIGNED).select("doc_id", F.explode("bands").alias("bucket"))
+    shared = scratch.write(_shared_buckets(scratch, scratch.write(again.distinct(), "again"), "fine"), "fine")
+    confirmed.test(_several_stars(scratch, _divided(scratch, shared, parts, "fine"), fine.centres, "fine"), texts)
+
+    parts = connected_components(confirmed.links(), scratch, "last").withColumnRenamed("node", "rep")
     found = members.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     found = found.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
