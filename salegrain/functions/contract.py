@@ -22,10 +22,6 @@ REQUIRED_PAYLOAD = ("store_id", "pos_id", "ticket_id", "amount_gs", "items", "pa
 #: JSON texts that count as an empty payload.
 _FALSY = ("null", "[]", '""', "0", "0.0", "-0", "false", "{}")
 
-SALE_TYPE = (
-    "struct<event_id: string, event_time: timestamp, event_time_text: string, key: string, store_id: string, pos_id: string, ticket_id: string, amount_gs: bigint, "
-    "items: bigint, payment: string, channel: string, produced_at: string, schema_version: int, version_in: bigint>"
-)
 
 
 def parsed(value: Column) -> Column:

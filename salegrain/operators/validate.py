@@ -25,14 +25,16 @@ def clock_reject(event_time: Column, now: Column, settings: Settings) -> Column:
 def validate(records: DataFrame, settings: Settings) -> DataFrame:
     """Records with ``sale`` (the typed event, null where the contract is broken) and ``reject`` (motivo, detalle; null where valid).
 
-    Each step is a one-row ``inline``: projections that Catalyst may not merge, so that a value is parsed once, and
-    checked once, however many columns are read from the result.
+    Each step is a one-row ``inline`` into flat columns: projections that Catalyst may not merge, so that a value is parsed
+    once, and checked once, however many columns are read from the result.
     """
     raw = F.struct(F.col("key").alias("key"), F.col("value").alias("value")).alias("raw")
     place = ["raw", "partition", "arrival", "arrival_time"]
-    once = lambda *columns: F.inline(F.array(F.struct(*columns)))
-    parsed = records.select(raw, "partition", "arrival", "arrival_time", once(contract.parsed(F.col("value")).alias("v")))
-    judged = parsed.select(*place, "v", once(contract.reject(F.col("v")).alias("broken")))
-    typed = judged.select(*place, "broken", once(F.when(F.col("broken").isNull(), contract.sale(F.col("v"))).alias("sale")))
-    clock = F.when(F.col("broken").isNull(), clock_reject(F.col("sale.event_time"), F.col("arrival_time"), settings))
-    return typed.select(*place, "sale", once(F.coalesce("broken", clock).alias("reject")))
+    parsed = records.select(raw, "partition", "arrival", "arrival_time", F.inline(F.array(F.struct(contract.parsed(F.col("value")).alias("v")))))
+    judged = parsed.select(*place, "v", F.inline(F.array(contract.reject(F.col("v")))))
+    valid = F.col("motivo").isNull()
+    typed = judged.select(*place, "motivo", "detalle", F.inline(F.array(F.when(valid, contract.sale(F.col("v"))))))
+    fields = [name for name in typed.columns if name not in (*place, "motivo", "detalle")]
+    broken = F.when(~valid, F.struct("motivo", "detalle"))
+    clock = F.when(valid, clock_reject(F.col("event_time"), F.col("arrival_time"), settings))
+    return typed.select(*place, F.when(valid, F.struct(*fields)).alias("sale"), F.coalesce(broken, clock).alias("reject"))
