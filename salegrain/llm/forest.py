@@ -39,7 +39,7 @@ def _split(x: np.ndarray, y: np.ndarray, features: np.ndarray, least: int) -> tu
         impurity = np.where(able, size * p * (1 - p) + (n - size) * q * (1 - q), np.inf)
         i = int(impurity.argmin())
         if impurity[i] < best[0]:
-            best = (float(impurity[i]), int(f), float((v[i] + v[i + 1]) / 2))
+            best = (float(impurity[i]), int(f), float(v[i]))
     return best
 
 

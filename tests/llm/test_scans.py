@@ -1,0 +1,330 @@
+"""Decontamination, PII, packing, fingerprints, language, quality and secrets."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from salegrain.llm import decontaminate as dec
+from salegrain.llm import language_id, packing, pii, quality, queries, secret_scan, spotsigs
+from salegrain.llm.forest import fit_forest
+from salegrain.llm.summing import partition_sums
+from salegrain.llm.words import ALNUM_FOLDED, SPACED, Words, text_arrays
+
+from . import brute
+
+RAISE = str.maketrans(brute.UPPER.lower(), brute.UPPER)
+ITEMS = "item_id long, text string"
+tokenizers = pytest.importorskip("public_tokenizers")
+VOCABULARY = tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def items(spark, corpus):
+    texts = dict(corpus)
+    pick = lambda doc, a, b: " ".join(brute.words(texts[doc])[a:b])
+    rows = [(1, pick(0, 0, 25).translate(RAISE)), (22, pick(7, 3, 16) + " nowhere else"), (3, "one"), (4, None), (5, "..."), (6, pick(309, 5, 30)), (1, pick(0, 0, 25).translate(RAISE)), (70, pick(200, 2, 12))]
+    return rows, spark.createDataFrame(rows, ITEMS)
+
+
+@pytest.mark.parametrize("block_bytes", [32 << 20, 200])
+def test_decontamination_equals_brute_force(docs_of, corpus, items, block_bytes):
+    found = dec.decontaminate(docs_of(corpus, extra=True), items[1], block_bytes=block_bytes).collect()
+    got = sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found)
+    assert got == brute.decontaminate(corpus, items[0])
+    assert sum(r.contaminated for r in found) >= 4 and all(r.contaminated == (r.n_hit > 0) for r in found)
+
+
+def test_longest_matches_have_their_places(docs_of, items, corpus):
+    found = {r.doc_id: r.matches for r in dec.decontaminate(docs_of(corpus), items[1]).collect()}
+    assert {(m.item_id, m.start, m.length) for m in found[0] if m.item_id == "1"} == {("1", 0, 25)}
+    words = brute.words(dict(corpus)[7], brute.ALNUM, True)
+    m = next(m for m in found[7] if m.item_id == "22")
+    assert words[m.start : m.start + m.length] == brute.words(items[0][1][1], brute.ALNUM, True)[: m.length]
+
+
+def test_contaminated_rows_are_removed_with_all_columns(spark, docs_of, corpus, items):
+    docs = docs_of(corpus, extra=True)
+    for block_bytes in (32 << 20, 200):
+        left = dec.remove_contaminated(docs, items[1], block_bytes=block_bytes)
+        assert left.columns == docs.columns
+        assert {r.doc_id for r in left.collect()} == {d for d, _, hit, _ in brute.decontaminate(corpus, items[0]) if not hit}
+    empty = spark.createDataFrame([], ITEMS)
+    assert dec.remove_contaminated(docs, empty).count() == len(corpus)
+    assert dec.decontaminate(docs, empty).where("contaminated").count() == 0
+    assert dec.decontaminate(docs_of([]), items[1]).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=60))
+def test_suffix_array_is_sorted(ids):
+    ids = np.array([*ids, 0], np.int64)
+    order = dec.suffix_array(ids, 64)
+    tail = lambda p: tuple(ids[p : p + int(np.flatnonzero(ids[p:] == 0)[0])])
+    assert sorted(order.tolist()) == np.flatnonzero(ids).tolist()
+    assert [tail(p) for p in order] == sorted(tail(p) for p in order)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aB1é \n.-", max_size=12), max_size=8))
+def test_words_of_arrow_columns(texts):
+    for alphabet, pattern, fold in ((ALNUM_FOLDED, brute.ALNUM, True), (SPACED, brute.SPACED, False)):
+        column = pa.array([None, *texts], pa.string())[1:]
+        words = Words(*text_arrays(column), alphabet)
+        want = [brute.words(t, pattern, fold) for t in texts]
+        assert np.diff(words.bounds).tolist() == [len(w) for w in want]
+        flat = [x for w in want for x in w]
+        cut = [bytes(words.data[s:e]).decode() for s, e in zip(words.starts, words.ends, strict=True)]
+        assert [c.translate(brute.FOLD) if fold else c for c in cut] == flat
+        assert len(set(zip(flat, words.hashes().tolist(), strict=True))) == len(set(flat)) == len(set(words.hashes().tolist()))
+
+
+PII_TEXTS = [
+    "mail a.b+c@x-y.co.uk, or a@b@c.d; ip 10.0.0.255 1.2.3.4.5 256.1.1.1", "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 4111 1111 11111111 2",
+    "call +49 (0)30 1234-567 or +1 2 3, +12+3456789012", None, "", "@", "x@y", "é@b.de +é", "1" * 5000, ". " * 3000 + "a@b.c",
+]
+
+
+def test_pii_equals_brute_force():
+    for text in PII_TEXTS:
+        assert [s for s in pii.find_spans(text or "") if s[0] in pii.BASE_KINDS] == brute.pii(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", ".", "@", "1", "4", "+", "-", " ", "(", "55", "b.c", "192.168", "%", "4111 1111 1111 1111", "\n", "é", "://u:p@h"]), max_size=25).map("".join))
+def test_pii_of_mixed_pieces(text):
+    assert [s for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS] == brute.pii(text)
+
+
+def test_pii_adds_spans_by_cues():
+    text = "IBAN: DE89 3704 0044 0532 0130 00. Account no. 12345-6789; ftp://joe:s3cret@host.org/"
+    found = {(kind, text[a:b]) for kind, a, b in pii.find_spans(text)}
+    assert {("iban", "DE89 3704 0044 0532 0130 00"), ("account", "12345-6789"), ("userinfo", "joe:s3cret")} <= found
+    assert not [s for s in pii.find_spans("IBAN: DE88 3704 0044 0532 0130 00") if s[0] == "iban"]
+
+
+def test_pii_query_columns(docs_of, spark, tmp_path):
+    docs_of([*enumerate(PII_TEXTS), (3, "a@b.c")], extra=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(PII_TEXTS) + 1
+    for r in got:
+        if r.doc_id != 3:
+            spans = brute.pii(PII_TEXTS[r.doc_id])
+            assert r.base_sha256 == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
+            assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in spans) for k in pii.BASE_KINDS]
+    assert pii.find_pii(docs_of([])).count() == 0
+
+
+TEXTS = ["", "a", "<|endoftext|> x", "  two  spaces\n\n", "don't we'll", "日本語 \U0001f600", "x" * 3000, " " * 500, "word " * 3000, "é" * 1024, "12345 67"]
+
+
+def test_pieces_have_the_ids_of_the_tokenizer(docs_of):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True
+    docs = [(i, t) for i, t in enumerate([*TEXTS, None])]
+    found = {(r.doc_id, r.piece): r for r in packing.pack(docs_of(docs, extra=True), VOCABULARY).collect()}
+    for doc, text in docs:
+        ids = [*reference.encode(text or "", add_special_tokens=False).ids, 2]
+        at = 0
+        for piece in range(sum(k[0] == doc for k in found)):
+            r = found[doc, piece]
+            cut = ids[at : at + r.length]
+            assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(cut, "<u4").tobytes())
+            assert r.length == 1024 or piece == 0
+            at += r.length
+        assert at == len(ids)
+
+
+def test_packing_is_tight_and_gapless(docs_of, corpus):
+    rows = packing.pack(docs_of([*corpus, *corpus, (None, "x y"), (None, "x y")]), VOCABULARY).toPandas()
+    assert len(rows) >= 2 * len(corpus) + 2
+    rows = rows.sort_values(["sequence_id", "offset"])
+    groups = rows.groupby("sequence_id")
+    assert (rows.offset == groups.length.cumsum() - rows.length).all()
+    assert (groups.length.sum() <= 1024).all()
+    assert rows.sequence_id.nunique() <= math.ceil(1.02 * rows.length.sum() / 1024) + 1
+    assert packing.pack(docs_of([]), VOCABULARY).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12), st.integers(1, 9), st.integers(1600, 4000), st.sampled_from(["norm", "dot"]))
+def test_best_fit_respects_every_constraint(counts, documents, attention, rule):
+    capacity = packing.Capacity(40, documents, attention)
+    events, bins = packing.best_fit(counts, capacity, rule=rule)
+    contents = {}
+    ranks = {n: [] for n in counts}
+    for length, rank, n, first, offset in events.tolist():
+        ranks[length] += range(rank, rank + n)
+        for b in range(first, first + n):
+            assert offset == sum(contents.get(b, []))
+            contents.setdefault(b, []).append(length)
+    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(k)) for n, k in counts.items()}
+    assert sorted(contents) == list(range(bins))
+    assert all(sum(c) <= 40 and len(c) <= documents and sum(x * x for x in c) <= attention for c in contents.values())
+
+
+def test_best_fit_is_close_to_the_bound():
+    rng = np.random.default_rng(0)
+    values, n = np.unique(np.minimum(1023, rng.lognormal(5.5, 1, 50_000).astype(int) + 1), return_counts=True)
+    _, bins = packing.best_fit(dict(zip(values.tolist(), n.tolist(), strict=True)), packing.Capacity())
+    assert bins <= 1.001 * (values * n).sum() / 1024 + 1
+
+
+def test_fingerprints_equal_brute_force(docs_of, corpus):
+    anchors = set(spotsigs.ANCHORS)
+    filler = "the house of the old man was in a wide green field and he had no dog"
+    pairs = [(d, None if t is None else t + (f"\n{filler} {d}" if d % 2 else "")) for d, t in corpus]
+    order = sorted((d, t or "") for d, t in pairs)
+    found = {r.doc_id: r for r in spotsigs.fingerprint_documents(docs_of(pairs, extra=True)).collect()}
+    for (doc, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        own, other, after = (brute.spot_signatures(t, anchors) for t in (text, edited, following))
+        r = found[doc]
+        assert (r.n_chars, r.edited, len(r.signs), len(r.edited_signs)) == (len(text), edited, len(own), len(other))
+        assert r.near_edited == pytest.approx(brute.jaccard(own, other)) and r.near_next == pytest.approx(brute.jaccard(own, after))
+
+
+def test_fingerprints_of_few_and_repeated_rows(docs_of):
+    one = spotsigs.fingerprint_documents(docs_of([(5, "the cat sat on the mat")])).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+    rows = spotsigs.fingerprint_documents(docs_of([(1, "a b"), (1, "a b"), (None, None), (2, "a b")])).collect()
+    assert sorted((r.doc_id or 0, r.near_next) for r in rows) == [(0, 0.0), (1, 1.0), (1, 1.0), (2, 0.0)]
+    assert spotsigs.fingerprint_documents(docs_of([])).count() == 0
+
+
+def test_equal_texts_have_equal_fingerprints(spark, sf_dir):
+    found = queries.op5_document_fingerprints(spark, sf_dir).toPandas()
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    assert found.merge(docs, on="doc_id").groupby("text").fingerprint.nunique().max() == 1
+    assert len(found) == len(docs) and found.near_edited.between(0, 1).all()
+
+
+def test_language_accuracy_on_the_held_out_fold(spark, sf_dir):
+    found = queries.op2_language_id(spark, sf_dir).toPandas().merge(pd.read_parquet(f"{sf_dir}/documents.parquet"), on="doc_id")
+    assert (found.held_out == [zlib.crc32(str(d).encode()) % 3 == 1 for d in found.doc_id]).all()
+    assert (found.lang_pred == found.lang)[found.held_out].mean() > 0.9
+    assert found.score.between(0, 1).all() and found.accepted.mean() > 0.8
+
+
+def test_language_of_odd_texts(docs_of):
+    model = language_id.learn_languages(docs_of([(1, "the cat is on the mat and the dog is in the house " * 5)]))
+    assert [x for x, _ in model.dictionaries] == ["en"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_languages(docs_of([(1, None), (2, ""), (3, "123 !?"), (4, "é"), (5, "the " * 50_000)], extra=True), model).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == got[5][0] == "en"
+    nothing = language_id.learn_languages(docs_of([]))
+    assert language_id.identify_languages(docs_of([(1, "word")]), nothing).first().lang_pred == "und"
+    assert language_id.identify_languages(docs_of([]), model).count() == 0
+
+
+def test_language_is_rejected_where_margins_are_narrow():
+    same = (("xx", b"alpha beta gamma " * 9), ("yy", b"alpha beta gamma " * 9))
+    lang, score, accepted = language_id.LanguageModel(same).predict("alpha beta gamma delta")
+    assert (lang, score, accepted) == ("xx", 0.0, False)
+
+
+def test_quality_accuracy_on_the_held_out_fold(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    pytest.importorskip("os").path.isdir(sf_dir) or pytest.skip("no test tables")
+    found = queries.op3_quality_classifier(spark, sf_dir).toPandas().merge(pd.read_parquet(f"{sf_dir}/labels.parquet"), on="doc_id")
+    held = found[found.held_out]
+    assert (held.predicted == held.quality).mean() > 0.95
+    assert ((held.predicted == 0) & (held.quality == 1)).sum() <= 0.03 * len(held)
+    assert found.score.between(0, 1).all() and (found.predicted == (found.score >= 0.5)).all()
+
+
+def test_quality_without_labels_or_texts(spark, docs_of):
+    schema = "doc_id long, quality int, toxic int"
+    docs = docs_of([(1, "a b"), (2, None), (None, ""), (3, "x " * 100_000)], extra=True)
+    none = quality.learn_quality(docs, spark.createDataFrame([], schema))
+    assert {r.score for r in quality.score_quality(docs, none).collect()} == {0.5}
+    assert quality.keep_quality(docs, none).count() == 4 and quality.keep_quality(docs, none).columns == docs.columns
+    alike = quality.learn_quality(docs, spark.createDataFrame([(1, 1, None), (7, 1, 0), (7, 1, 0), (None, 0, 0), (8, None, 0), (2, 0, 0)], schema))
+    assert {r.score for r in quality.score_quality(docs, alike).collect()} == {1.0}
+    assert quality.score_quality(docs_of([]), alike).count() == 0
+
+
+def test_context_sums_equal_a_plain_count(docs_of):
+    pairs = [(i, t) for i, t in enumerate(["a b c", "a a. B", None, "x\ny"])]
+    indexing = quality.Indexing(slots=256, dims=16)
+    got = quality.context_sums(docs_of(pairs).repartition(3), indexing)
+    want = np.zeros((256, 16))
+    dims, signs = indexing.vectors()
+    for _, text in pairs:
+        value, _ = quality.tokens(*text_arrays(pa.array([text], pa.string())))
+        slot = (value % np.uint64(256)).astype(int)
+        for i in range(len(slot)):
+            for j in range(max(0, i - 2), min(len(slot), i + 3)):
+                if i != j:
+                    for d, s in zip(dims, signs, strict=True):
+                        want[slot[i], d[slot[j]]] += s[slot[j]]
+    assert np.allclose(got, want) and np.abs(want).sum() > 0
+
+
+def test_sums_in_several_rounds(spark):
+    df = spark.range(0, 1000, numPartitions=50).select(F.col("id"))
+    count = lambda batches: np.array([sum(b.num_rows for b in batches), 1.0])
+    assert partition_sums(df, count, 2, block=1, fan_in=4).tolist() == [1000, 50]
+
+
+def test_network_is_calibrated():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-3 * x[:, 0]))).astype(float)
+    model = quality.QualityModel(np.zeros((1, 8), np.float32))
+    quality.fit_network(model, x, y)
+    p = 1 / (1 + np.exp(-model.logits(x) / model.temperature))
+    for low in (0.0, 0.25, 0.5, 0.75):
+        part = (p >= low) & (p < low + 0.25)
+        assert abs(p[part].mean() - y[part].mean()) < 0.08
+
+
+def test_forest_learns_and_scores():
+    rng = np.random.default_rng(0)
+    x = rng.random((600, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
+    forest = fit_forest(x[:400], y[:400])
+    assert ((forest.score(x[400:]) >= 0.5) == y[400:]).mean() > 0.9
+    assert fit_forest(np.empty((0, 4)), np.empty(0)).score(x[:3]).tolist() == [0, 0, 0]
+
+
+def test_secrets_of_held_out_findings(docs_of):
+    corpus = secret_scan.CorpusStatistics.of(docs_of([(1, " ".join(secret_scan._PROSE) * 20)]))
+    findings = secret_scan.labelled_findings(3000)
+    forest = secret_scan.learn_secrets(findings[:2000], corpus)
+    held = findings[2000:]
+    x = np.concatenate([secret_scan.features(f.text, [(f.start, f.end)], f.path, corpus) for f in held])
+    truth = np.array([f.secret for f in held])
+    assert ((forest.score(x) >= 0.5) == truth).mean() > 0.95
+
+
+def test_secrets_of_documents(spark, docs_of, sf_dir):
+    found = queries.op6_secret_scan(spark, sf_dir).toPandas().set_index("doc_id")
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet").set_index("doc_id").text
+    pattern = re.compile(r"AKIA[A-Z0-9]{16}|password=[0-9a-f]{18}|token = \"[0-9a-f]{40}\"")
+    for doc, text in docs.items():
+        spans = [tuple(map(int, s.split(":"))) for s in found.spans[doc].split(",") if s]
+        assert all(any(m.start() <= a < m.end() for a, _ in spans) for m in pattern.finditer(text))
+    got = secret_scan.scan_secrets(docs_of([(None, None), (1, ""), (1, ""), (2, "x" * 100_000)], extra=True), findings=secret_scan.labelled_findings(400)).collect()
+    assert sorted((r.doc_id or 0, r.n_candidates) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 1)]
+    assert secret_scan.scan_secrets(docs_of([]), path=None, findings=secret_scan.labelled_findings(400)).count() == 0
+
+
+def test_edited_text_hash(spark, sf_dir):
+    found = queries.op5_document_fingerprints(spark, sf_dir).toPandas().set_index("doc_id")
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet").sort_values("doc_id")
+    texts = docs.text.tolist()
+    for doc, a, b in random.Random(1).sample(list(zip(docs.doc_id, texts, texts[1:] + texts[:1], strict=True)), 40):
+        edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        assert found.edited_sha256[doc] == hashlib.sha256(edited.encode()).hexdigest()
