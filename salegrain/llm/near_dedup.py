@@ -19,18 +19,19 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Banding:
-    """Bins of a permutation, how many bands of how many rows are cut from them, how many permutations there are, and
-    how many centres a bucket has beyond its first star."""
+    """Bins of a permutation, how many bands of how many rows are cut from them, how many permutations there are, how
+    many members a bucket may have to be settled pair by pair, and how many centres a larger one gets."""
 
     bins: int = 256
     rows: int = 6
     bands: int = 42
     permutations: int = 1
+    small: int = 8
     centres: int = 8
 
 
 #: For buckets too large to be settled by a few centres: a band is shared by far more similar texts only.
-FINE = Banding(rows=16, bands=16, permutations=13, centres=16)
+FINE = Banding(rows=16, bands=16, permutations=13, small=16)
 
 
 def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,14 +206,15 @@ def _divided(scratch: Scratch, shared: DataFrame, parts: DataFrame, name: str) -
     return scratch.write(placed.join(scratch.write(several, f"{name}-several").hint("merge"), "bucket"), f"{name}-divided")
 
 
-def _several_stars(scratch: Scratch, divided: DataFrame, centres: int, name: str) -> DataFrame:
-    """Edges between components within a bucket: every member's to each of up to ``centres`` centres, which are all
-    members of buckets no larger than that, else the most central of as many random parts of the bucket."""
-    slot = F.when(F.col("n") <= centres, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("bucket", "doc_id"), F.lit(centres)))
+def _several_stars(scratch: Scratch, divided: DataFrame, banding: Banding, name: str) -> DataFrame:
+    """Edges between components within a bucket: each pair of a small bucket's, and in larger ones every member's to
+    ``centres`` centres, the most central of as many random parts of the bucket."""
+    slot = F.when(F.col("n") <= banding.small, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("bucket", "doc_id"), F.lit(banding.centres)))
     best = F.max(F.struct("central", "doc_id", "component")).alias("best")
     chosen = divided.groupBy("bucket", slot.alias("slot")).agg(best)
     chosen = scratch.write(chosen.select("bucket", F.col("best.doc_id").alias("b"), F.col("best.component").alias("b_component")), f"{name}-chosen")
-    edges = divided.join(chosen.hint("merge"), "bucket").where(F.col("component") != F.col("b_component"))
+    apart = (F.col("component") != F.col("b_component")) & ((F.col("n") > banding.small) | (F.col("doc_id") < F.col("b")))
+    edges = divided.join(chosen.hint("merge"), "bucket").where(apart)
     return edges.select(F.col("doc_id").alias("a"), "b")
 
 
@@ -226,10 +228,10 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Band
     links with nothing: its component_id is null and it is kept. An empty table gives no rows.
 
     Equal sets (by size and 128-bit hash) are one class, and only a class's smallest id goes on. Members of a bucket get
-    edges to its most central member: n - 1 for a bucket of n. Buckets that then still hold several components get
-    a few more centres, all members where the bucket is that small, and edges between components only. Members of larger ones are
-    hashed again into ``fine`` bands, whose buckets are small also within a crowd of half-similar texts. Every edge is
-    confirmed on the full sets; edges grow with the number of members of buckets.
+    edges to its most central member: n - 1 for a bucket of n. Of buckets that then still hold several components, those
+    of at most ``banding.small`` members get all edges between components. Members of larger ones are hashed again
+    into ``fine`` bands, whose buckets are small also within a crowd of half-similar texts, and get edges between components to
+    ``fine.centres`` centres. Every edge is confirmed on the full sets; edges grow with the number of members of buckets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -254,11 +256,11 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Band
     confirmed.test(_star(scratch, shared, "coarse"), texts)
     parts = connected_components(confirmed.links(), scratch, "first")
     divided = _divided(scratch, shared, parts, "coarse")
-    confirmed.test(_several_stars(scratch, divided, banding.centres, "coarse"), texts)
-    crowd = scratch.write(divided.where(F.col("n") > banding.centres).select("doc_id").distinct(), "crowd")
+    confirmed.test(_several_stars(scratch, divided.where(F.col("n") <= banding.small), banding, "coarse"), texts)
+    crowd = scratch.write(divided.where(F.col("n") > banding.small).select("doc_id").distinct(), "crowd")
     again = texts.join(crowd, "doc_id").mapInArrow(_sign(fine, width), _SIGNED).select("doc_id", F.explode("bands").alias("bucket"))
     shared = scratch.write(_shared_buckets(scratch, scratch.write(again.distinct(), "again"), "fine"), "fine")
-    confirmed.test(_several_stars(scratch, _divided(scratch, shared, parts, "fine"), fine.centres, "fine"), texts)
+    confirmed.test(_several_stars(scratch, _divided(scratch, shared, parts, "fine"), fine, "fine"), texts)
 
     parts = connected_components(confirmed.links(), scratch, "last").withColumnRenamed("node", "rep")
     found = members.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
