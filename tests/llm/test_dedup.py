@@ -128,7 +128,7 @@ def test_signatures_estimate_jaccard():
 
 def test_densified_signatures_are_full():
     for n in (1, 2, 5):
-        values = np.sort(near.mix(np.arange(n, dtype=np.uint64)))
+        values = np.sort(near.mix(np.arange(1, n + 1, dtype=np.uint64)))
         assert (near.signatures(values, np.array([0, n]), 256) != 0).all()
 
 
