@@ -136,7 +136,7 @@ _DDL = "doc_id long, _id long, _th long, n_words long, n_hit long, items array<s
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test: TestSuffixes = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             words = Words(*text_arrays(batch.column("text")), ALNUM_FOLDED)
             n = np.diff(words.bounds)
             item, place, length = longest_matches(*shard_matches(words, test), test)
@@ -178,7 +178,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     nothing; a null item_id is named ''. Repeated items count once by their id. Each row of ``docs`` gets one result,
     repeated or not. An empty ``docs`` gives no rows; with an empty ``benchmark`` nothing is hit.
 
-    Each task builds suffix arrays of its own shard of documents, a few MB of text at a time, and searches them for all
+    Each task builds suffix arrays of its own shard of documents, a MB of text at a time, and searches them for all
     test suffixes, so no text is shuffled. The test items are broadcast in blocks of at most ``block_bytes`` of text; where there
     is more than one block, each document's matches are put together by its key.
     """
@@ -216,7 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 def _clean(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test: TestSuffixes = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             words = Words(*text_arrays(batch.column("text")), ALNUM_FOLDED)
             place, _ = shard_matches(words, test)
             keep = np.ones(batch.num_rows, bool)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold
 from .summing import partition_sums
-from .words import _BASE, _INVERSE, mix, powers, slices, text_arrays
+from .words import _BASE, _INVERSE, _powers, mix, slices, text_arrays
 
 _U = np.uint64
 
@@ -48,7 +48,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(start):
         return np.empty(0, _U), np.zeros(len(offsets), np.int64)
     n = len(data)
-    value = np.add.reduceat(_VALUES[data] * powers(_BASE, n), start) * powers(_INVERSE, n)[start]
+    value = np.add.reduceat(_VALUES[data] * _powers(_BASE, n), start) * _powers(_INVERSE, n)[start]
     capitals = np.add.reduceat(_CAPITAL[data], start)
     length = np.diff(np.append(start, n))
     keep = kind[start] > BLANK

@@ -65,10 +65,10 @@ _cache: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    if n > 8 << 20:
+    if n > 1 << 20:
         return powers(base, n)
     if base not in _cache or len(_cache[base]) < n:
-        _cache[base] = powers(base, max(n, 1 << 20))
+        _cache[base] = powers(base, 1 << (n - 1).bit_length())
     return _cache[base][:n]
 
 
@@ -119,8 +119,11 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches whose texts have at most ``limit`` bytes together, or a single row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Record batches whose texts have at most ``limit`` bytes together, or a single row.
+
+    A worker's arrays have some 100 bytes for each byte of text, so this bounds its memory.
+    """
     for batch in batches:
         _, offsets = text_arrays(batch.column(column))
         row = 0
