@@ -29,11 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch on its way to a Python worker. Batches of long texts would else be 64 MB, held by the JVM and
+#: by the worker at once for each core.
+ARROW_BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound this session's Arrow batches by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+
+
 def workers_can_import(spark: SparkSession) -> None:
     """Put this package's folder on the Python workers' path, as local runs from other folders need it.
 
     A cluster gets the package by ``--py-files`` or an installation.
     """
+    bound_batches(spark)
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     have = environment.get("PYTHONPATH", "").split(os.pathsep)
@@ -41,14 +52,22 @@ def workers_can_import(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
 
 
+ROWS_PER_FILE = 100_000
+
+
 class Scratch:
     """Written tables below the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
+        """Write and read again. ``rows`` is a bound on the rows that come out of the last shuffle, where it is known:
+        a table is then written in files of up to ``ROWS_PER_FILE``, not in one for each shuffle partition."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
         writer = df.write.mode("errorifexists").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
