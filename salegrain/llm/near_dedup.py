@@ -182,28 +182,31 @@ class _Confirmed:
         return self.judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _shared_buckets(scratch: Scratch, buckets: DataFrame, name: str) -> DataFrame:
+def _shared_buckets(scratch: Scratch, buckets: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """bucket, doc_id, n, central: members of buckets of n > 1. ``central`` sums up n over a document's buckets; it is
     greatest in the middle of a group of copies."""
-    sizes = scratch.write(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), f"{name}-sizes")
-    shared = scratch.write(buckets.join(sizes.hint("merge"), "bucket"), f"{name}-shared")
-    central = scratch.write(shared.groupBy("doc_id").agg(F.sum("n").alias("central")), f"{name}-central")
-    return shared.join(central, "doc_id").select("bucket", "doc_id", "n", "central")
+    sizes = scratch.write(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), f"{name}-sizes", rows=rows)
+    shared = scratch.write(buckets.join(sizes.hint("merge"), "bucket"), f"{name}-shared", rows=rows)
+    rows = shared.count()
+    central = scratch.write(shared.groupBy("doc_id").agg(F.sum("n").alias("central")), f"{name}-central", rows=rows)
+    return scratch.write(shared.join(central, "doc_id").select("bucket", "doc_id", "n", "central"), name, rows=rows)
 
 
 def _star(scratch: Scratch, shared: DataFrame, name: str) -> DataFrame:
     """Edges of each bucket's members to its most central member."""
     most = F.max(F.struct("central", (-F.col("doc_id")).alias("low"))).alias("most")
-    centres = scratch.write(shared.groupBy("bucket").agg(most).select("bucket", (-F.col("most.low")).alias("b")), f"{name}-centres")
+    centres = scratch.write(shared.groupBy("bucket").agg(most).select("bucket", (-F.col("most.low")).alias("b")), f"{name}-centres", rows=shared.count())
     return shared.join(centres.hint("merge"), "bucket").where(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), "b")
 
 
 def _divided(scratch: Scratch, shared: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     """The members, with their component so far, of buckets that hold several components."""
     placed = shared.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = scratch.write(placed, f"{name}-placed")
+    rows = shared.count()
+    placed = scratch.write(placed, f"{name}-placed", rows=rows)
     several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    return scratch.write(placed.join(scratch.write(several, f"{name}-several").hint("merge"), "bucket"), f"{name}-divided")
+    several = scratch.write(several, f"{name}-several", rows=rows)
+    return scratch.write(placed.join(several.hint("merge"), "bucket"), f"{name}-divided", rows=rows)
 
 
 def _several_stars(scratch: Scratch, divided: DataFrame, banding: Banding, name: str) -> DataFrame:
@@ -212,7 +215,7 @@ def _several_stars(scratch: Scratch, divided: DataFrame, banding: Banding, name:
     slot = F.when(F.col("n") <= banding.small, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("bucket", "doc_id"), F.lit(banding.centres)))
     best = F.max(F.struct("central", "doc_id", "component")).alias("best")
     chosen = divided.groupBy("bucket", slot.alias("slot")).agg(best)
-    chosen = scratch.write(chosen.select("bucket", F.col("best.doc_id").alias("b"), F.col("best.component").alias("b_component")), f"{name}-chosen")
+    chosen = scratch.write(chosen.select("bucket", F.col("best.doc_id").alias("b"), F.col("best.component").alias("b_component")), f"{name}-chosen", rows=divided.count())
     apart = (F.col("component") != F.col("b_component")) & ((F.col("n") > banding.small) | (F.col("doc_id") < F.col("b")))
     edges = divided.join(chosen.hint("merge"), "bucket").where(apart)
     return edges.select(F.col("doc_id").alias("a"), "b")
@@ -244,11 +247,11 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Band
     members = scratch.write(members.distinct(), "members")
     firsts = able.join(classes.select(*equal, F.col("rep").alias("doc_id")), [*equal, "doc_id"])
     buckets = scratch.write(firsts.select("doc_id", F.explode("bands").alias("bucket")), "buckets")
-    shared = scratch.write(_shared_buckets(scratch, buckets, "coarse"), "coarse")
+    shared = _shared_buckets(scratch, buckets, "coarse")
     scratch.drop("buckets")
     scratch.drop("coarse-shared")
     # every candidate is one of these: their texts are shuffled once, and kept
-    candidates = scratch.write(shared.select("doc_id").distinct(), "candidates")
+    candidates = scratch.write(shared.select("doc_id").distinct(), "candidates", rows=shared.count())
     texts = scratch.write(source.join(candidates.hint("merge"), "doc_id"), "texts")
     scratch.release()
 
@@ -257,9 +260,10 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Band
     parts = connected_components(confirmed.links(), scratch, "first")
     divided = _divided(scratch, shared, parts, "coarse")
     confirmed.test(_several_stars(scratch, divided.where(F.col("n") <= banding.small), banding, "coarse"), texts)
-    crowd = scratch.write(divided.where(F.col("n") > banding.small).select("doc_id").distinct(), "crowd")
+    crowd = scratch.write(divided.where(F.col("n") > banding.small).select("doc_id").distinct(), "crowd", rows=divided.count())
     again = texts.join(crowd, "doc_id").mapInArrow(_sign(fine, width), _SIGNED).select("doc_id", F.explode("bands").alias("bucket"))
-    shared = scratch.write(_shared_buckets(scratch, scratch.write(again.distinct(), "again"), "fine"), "fine")
+    again = scratch.write(again, "again")
+    shared = _shared_buckets(scratch, again.distinct(), "fine", again.count())
     confirmed.test(_several_stars(scratch, _divided(scratch, shared, parts, "fine"), fine, "fine"), texts)
 
     parts = connected_components(confirmed.links(), scratch, "last").withColumnRenamed("node", "rep")
