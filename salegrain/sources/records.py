@@ -30,13 +30,15 @@ def reference_now(records: DataFrame) -> DataFrame:
 def with_arrival(records: DataFrame, now) -> DataFrame:
     """key, value, partition, arrival and arrival_time of records; ``now`` stands in for missing arrival times.
 
-    Records without an offset arrive in the order of their files' lines, which Spark's row numbers follow.
+    Records without an offset arrive in the order of their files' lines, which Spark's row numbers follow; in a stream,
+    which has no row numbers, in the order of their times.
     """
+    order = F.col("timestamp_ms") if records.isStreaming else F.monotonically_increasing_id()
     return records.select(
         F.col("key"),
         F.col("value"),
         F.coalesce("partition", F.lit(0)).alias("partition"),
-        F.coalesce("offset", F.monotonically_increasing_id()).alias("arrival"),
+        F.coalesce(F.col("offset"), order).alias("arrival"),
         F.coalesce(F.col("arrival_time"), F.lit(now)).alias("arrival_time"),
     )
 

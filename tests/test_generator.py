@@ -90,6 +90,14 @@ def test_run_file_and_batch_job(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/out/rechazos.jsonl").count() == core.rejects().count() > 0
 
 
+def test_streaming_command(spark, tmp_path, capsys):
+    gen.write_run(f"{tmp_path}/in/run.jsonl", SETTINGS, NOW, 60, rates=gen.Rates(duplicates=0.1, broken=0.1))
+    assert cli.main(["stream", f"{tmp_path}/in", f"{tmp_path}/table", "--available-now"]) == 0
+    assert cli.main(["report", f"{tmp_path}/table"]) == 0
+    shown = capsys.readouterr().out
+    assert "== resumen ==" in shown and '"version_no_soportada"' in shown and "EARLY" in shown
+
+
 def test_smoke(spark):
     assert cli.run_smoke(spark, SETTINGS)["passed"]
 
