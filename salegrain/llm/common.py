@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
@@ -55,23 +56,45 @@ def workers_can_import(spark: SparkSession) -> None:
 ROWS_PER_FILE = 100_000
 
 
+def files_for(rows: int) -> int:
+    """In how many files at most so many rows are written, where there are as many partitions."""
+    return max(1, -(-rows // ROWS_PER_FILE))
+
+
+_made: list[Scratch] = []
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    """At the end of the application its scratch tables go, as far as its session still runs."""
+    for scratch in _made:
+        if scratch.spark.sparkContext._jsc is not None:
+            scratch.drop("")
+
+
 class Scratch:
-    """Written tables below the shared folder: they cut lineage and outlive lost executors."""
+    """Written tables below the shared folder: they cut lineage and outlive lost executors.
+
+    A result is lazy and reads its last tables whenever it is used, so these stay until the application ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bound_batches(spark)
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        _made.append(self)
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
         """Write and read again. ``rows`` is a bound on the rows that come out of the last shuffle, where it is known:
         a table is then written in files of up to ``ROWS_PER_FILE``, not in one for each shuffle partition."""
         if rows is not None:
-            df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+            df = df.coalesce(files_for(rows))
         writer = df.write.mode("errorifexists").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(f"{self.path}/{name}")
+        self.names.add(name)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
@@ -82,8 +105,14 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these."""
+        for name in self.names - set(names):
+            self.drop(name)
+
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
+        self.names.discard(name)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

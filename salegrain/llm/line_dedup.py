@@ -71,7 +71,9 @@ class LineIndex:
         return documents_of(docs).select("_id", "_th", F.inline(line_hashes(F.col("text"), self.min_chars)))
 
     def add(self, hashes: DataFrame) -> None:
-        self.runs.add(hashes.select("h1", "h2", F.col("first").cast("long").alias("n_docs"), F.col("_id").alias("last_id")))
+        """Add a batch of ``hashes`` (written ones, as they are counted) as a sorted run."""
+        rows = hashes.select("h1", "h2", F.col("first").cast("long").alias("n_docs"), F.col("_id").alias("last_id"))
+        self.runs.add(rows, hashes.count())
 
     def dropped(self, hashes: DataFrame) -> DataFrame:
         """_id, _th, positions (sorted) of lines whose key is common and whose document is not its last."""
@@ -93,11 +95,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     with the same largest doc_id all keep the line. An empty table gives no rows. Other columns are ignored, or
     come along in a struct ``_row`` with ``carry``.
 
-    The line hashes are written once, cut into ``batches`` by a hash of the id; each batch adds a sorted run.
+    The line hashes are written once, cut into ``batches`` of input splits; each batch adds a sorted run.
     """
     spark = docs.sparkSession
     index = LineIndex(spark, min_chars, min_docs, fanout)
-    hashes = index.hashes(docs).withColumn("batch", F.pmod(F.xxhash64("_id"), F.lit(batches)).cast("int"))
+    hashes = index.hashes(docs).withColumn("batch", F.pmod(F.spark_partition_id(), F.lit(batches)))
     hashes = index.scratch.write(hashes, "hashes", partition_by="batch")
     for batch in range(batches):
         index.add(hashes.where(F.col("batch") == batch))

@@ -242,12 +242,13 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Band
     signed = scratch.write(source.mapInArrow(_sign(banding, width), _SIGNED), "signed")
     able = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     equal = ["k1", "k2", "n_shingles"]
-    classes = scratch.write(able.groupBy(*equal).agg(F.min("doc_id").alias("rep")), "classes")
+    n = signed.count()
+    classes = scratch.write(able.groupBy(*equal).agg(F.min("doc_id").alias("rep")), "classes", rows=n)
     members = able.select("doc_id", *equal).join(classes.hint("merge"), equal).select("doc_id", "rep")
-    members = scratch.write(members.distinct(), "members")
+    members = scratch.write(members.distinct(), "members", rows=n)
     firsts = able.join(classes.select(*equal, F.col("rep").alias("doc_id")), [*equal, "doc_id"])
-    buckets = scratch.write(firsts.select("doc_id", F.explode("bands").alias("bucket")), "buckets")
-    shared = _shared_buckets(scratch, buckets, "coarse")
+    buckets = scratch.write(firsts.select("doc_id", F.explode("bands").alias("bucket")), "buckets", rows=n * banding.bands)
+    shared = _shared_buckets(scratch, buckets, "coarse", n * banding.bands)
     scratch.drop("buckets")
     scratch.drop("coarse-shared")
     # every candidate is one of these: their texts are shuffled once, and kept
@@ -267,6 +268,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Band
     confirmed.test(_several_stars(scratch, _divided(scratch, shared, parts, "fine"), fine, "fine"), texts)
 
     parts = connected_components(confirmed.links(), scratch, "last").withColumnRenamed("node", "rep")
+    scratch.keep("signed", "members", *[name for name in scratch.names if name.startswith("last-edges")])
     found = members.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     found = found.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")

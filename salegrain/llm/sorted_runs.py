@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import Scratch
+from .common import Scratch, files_for
 
 
 class SortedRuns:
@@ -25,9 +25,9 @@ class SortedRuns:
         self._like: DataFrame | None = None
         self._made = 0
 
-    def add(self, batch: DataFrame) -> None:
-        """Aggregate a batch to unique keys and write it as a run; compact full levels."""
-        self._write(self._merged(batch), 0)
+    def add(self, batch: DataFrame, rows: int | None = None) -> None:
+        """Aggregate a batch to unique keys and write it as a run; compact full levels. ``rows``: a bound on its rows."""
+        self._write(self._merged(batch), 0, rows)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact(self.levels[level], level + 1)
@@ -58,18 +58,19 @@ class SortedRuns:
     def _merged(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy(*self.keys).agg(*[how(column).alias(column) for column, how in self.merge.items()])
 
-    def _write(self, rows: DataFrame, level: int) -> None:
+    def _write(self, merged: DataFrame, level: int, rows: int | None) -> None:
         self._made += 1
         name = f"run-{level}-{self._made}"
-        self._like = self.scratch.write(rows.sortWithinPartitions(*self.keys), name)
+        merged = merged if rows is None else merged.coalesce(files_for(rows))
+        self._like = self.scratch.write(merged.sortWithinPartitions(*self.keys), name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
 
     def _compact(self, runs: list[str], level: int) -> None:
         runs = list(runs)
-        merged = self._merged(self._read(runs))
+        stored = self._read(runs)
         self.levels = [[run for run in kept if run not in runs] for kept in self.levels]
-        self._write(merged, level)
+        self._write(self._merged(stored), level, stored.count())
         for run in runs:
             self.scratch.drop(run)
