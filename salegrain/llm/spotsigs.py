@@ -6,6 +6,8 @@ of content words from there on, common words between them left out. A fingerprin
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +125,39 @@ def fingerprint_documents(docs: DataFrame, chain: int = 2) -> DataFrame:
         likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"),
         likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
     )
+
+
+def similar_documents(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id, n_links for every row of ``signed`` (doc_id, signs): the join of fingerprints with themselves.
+
+    Equal fingerprints are one class, named by its smallest doc_id; n_links is the number of other classes with a
+    Jaccard similarity of ``threshold`` or more. Empty fingerprints and null ids link with nothing, their class is their own id.
+
+    Classes are partitioned by set length in steps of the threshold, so that a class meets its own partition and the next
+    shorter one only. Within, two sets are compared that share one of their rarest n - ceil(threshold * n) + 1
+    signatures, as all similar ones do, and whose lengths allow it. Repeated ids count as one document.
+    """
+    scratch = Scratch(signed.sparkSession, "spots")
+    able = signed.where(F.col("doc_id").isNotNull() & (F.size("signs") > 0))
+    keyed = able.select("doc_id", "signs", F.size("signs").alias("n"), F.xxhash64("signs").alias("k1"), F.xxhash64(F.lit(5), "signs").alias("k2"))
+    keys = ["n", "k1", "k2"]
+    classes = scratch.write(keyed.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("signs").alias("signs")), "classes")
+    rows = classes.select("rep", "n", F.explode("signs").alias("sig"))
+    counts = scratch.write(rows.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1"), "counts")
+    ranked = rows.join(counts.hint("merge"), "sig", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    rare = F.slice(F.sort_array(F.collect_list(F.struct("f", "sig"))), 1, F.first("n") - F.ceil(F.first("n") * threshold - 1e-9).cast("int") + 1)
+    prefix = ranked.groupBy("rep", "n").agg(rare.alias("rare")).select("rep", "n", F.explode("rare").alias("x")).where("x.f > 1")
+    part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9)
+    prefix = scratch.write(prefix.select("rep", "n", F.col("x.sig").alias("sig"), part.alias("part")), "prefix")
+    longer = prefix.select("sig", "part", F.col("rep").alias("a"), F.col("n").alias("n_a"))
+    shorter = prefix.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("part").alias("own"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
+    met = longer.join(shorter.hint("merge"), ["sig", "part"]).where((F.col("own") < F.col("part")) | (F.col("a") < F.col("b")))
+    met = met.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9).select("a", "b").distinct()
+    sets = classes.select("rep", "signs")
+    judged = met.join(sets.select(F.col("rep").alias("a"), F.col("signs").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("signs").alias("t")), "b")
+    links = judged.where(likeness(F.col("s"), F.col("t")) >= threshold).select(F.explode(F.array("a", "b")).alias("rep"))
+    links = scratch.write(links.groupBy("rep").agg(F.count("*").alias("n_links")), "links")
+    members = keyed.join(classes.select(*keys, "rep"), keys).join(links, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), "n_links").distinct()
+    members = members.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    found = signed.select("doc_id").join(members, "doc_id", "left")
+    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -328,3 +328,20 @@ def test_edited_text_hash(spark, sf_dir):
     for doc, a, b in random.Random(1).sample(list(zip(docs.doc_id, texts, texts[1:] + texts[:1], strict=True)), 40):
         edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
         assert found.edited_sha256[doc] == hashlib.sha256(edited.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_similar_fingerprints_equal_all_pairs(spark, threshold):
+    rng = random.Random(9)
+    sets = [frozenset(rng.sample(range(60), rng.randint(1, 25))) for _ in range(60)]
+    sets += [frozenset(s | {100 + i}) for i, s in enumerate(sets[:30])] + sets[:10] + [frozenset()] * 2
+    rows = [(i, sorted(s)) for i, s in enumerate(sets)] + [(None, [1, 2]), (3, sorted(sets[3]))]
+    found = spotsigs.similar_documents(spark.createDataFrame(rows, "doc_id long, signs array<long>"), threshold).collect()
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i) if s else None
+    links = {s: sum(t != s and len(s & t) / len(s | t) >= threshold for t in first) for s in first}
+    want = [(i, first[s] if s else i, links.get(s, 0)) for i, s in enumerate(sets)] + [(3, first[sets[3]], links[sets[3]])]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found if r.doc_id is not None) == sorted(want)
+    assert [(r.class_id, r.n_links) for r in found if r.doc_id is None] == [(None, 0)]
+    assert sum(links.values()) > 20
