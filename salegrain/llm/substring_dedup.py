@@ -185,7 +185,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 6, batches:
     scratch.release()
     settled = found.where(~F.col("mixed") & F.col("again")).select("_id", "loc")
     mixed = found.where("mixed").select("a", "c", "_id", "loc")
-    firsts = scratch.write(mixed.groupBy("a", "c").agg(F.min(F.struct("_id", "loc")).alias("first")), "firsts")
+    firsts = scratch.write(mixed.groupBy("a", "c").agg(F.min(F.struct("_id", "loc")).alias("first")), "firsts", rows=found.count())
     again = mixed.join(firsts.hint("merge"), ["a", "c"]).where(F.struct("_id", "loc") != F.col("first")).select("_id", "loc")
     mark = F.pmod(F.col("loc"), F.lit(65536)).alias("_tx")
     asked = firsts.select("first.*").groupBy("_id", mark).agg(F.collect_list("loc").alias("locs"))
@@ -193,7 +193,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 6, batches:
     windows = scratch.write(windows.mapInArrow(_window_rows(window), "w1 long, w2 long, _id long, loc long"), "windows")
     scratch.release()
     earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("_id", "loc")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    earliest = scratch.write(earliest.drop("n"), "earliest")
+    earliest = scratch.write(earliest.drop("n"), "earliest", rows=windows.count())
     single = windows.join(earliest.hint("merge"), ["w1", "w2"]).where(F.struct("_id", "loc") != F.col("first")).select("_id", "loc")
     gone = settled.unionByName(again).unionByName(single).groupBy("_id", mark).agg(F.collect_list("loc").alias("locs"))
     judged = source.select("doc_id", "_id", "_tx", "text").join(gone.hint("merge"), ["_id", "_tx"], "left")
