@@ -1,4 +1,4 @@
-"""MinHash near-dedup: one-permutation hashing, banded buckets, star-shaped candidate edges, exact confirmation."""
+"""MinHash near-dedup: one-permutation hashing, banded buckets, star-shaped candidate edges, an exact join for crowds, exact confirmation."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -30,7 +30,8 @@ class Banding:
     centres: int = 8
 
 
-#: For buckets too large to be settled by a few centres: a band is shared by far more similar texts only.
+#: For buckets too large to be settled by a few centres: a band is shared by far more similar texts only. It joins most
+#: components at little cost; those that it leaves apart are joined exactly.
 FINE = Banding(rows=16, bands=16, permutations=13, small=16)
 
 
@@ -143,6 +144,36 @@ def _sign(banding: Banding, width: int):
     return run
 
 
+_SETS = "doc_id long, k1 long, k2 long, n long, parity array<long>, shingles array<long>"
+PARITY_BITS = 512
+#: Members of a posting list that one task compares with all others of the list.
+LIST_PART = 1024
+
+
+def _sets(width: int):
+    """Each text's set, and its parity: bit i tells whether an odd number of its shingles hash to i."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            values, bounds = shingle_sets(Words(*text_arrays(batch.column("text")), SPACED_FOLDED), width)
+            n = np.diff(bounds)
+            bit = (mix(values + _U(43)) % _U(PARITY_BITS)).astype(np.int64)
+            odd = np.bincount(np.repeat(np.arange(len(n)), n) * PARITY_BITS + bit, minlength=len(n) * PARITY_BITS) & 1
+            parity = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            keys = []
+            for salt in (11, 29):
+                s = np.append(_U(0), np.cumsum(mix(values + _U(salt))))
+                keys.append(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)))
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (PARITY_BITS // 64), pa.int32()), pa.array(parity)),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))),
+            ]
+            columns = [batch.column("doc_id"), *keys, pa.array(n, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n", "parity", "shingles"])
+
+    return run
+
+
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "text_a"), "text_b"):
@@ -221,6 +252,46 @@ def _several_stars(scratch: Scratch, divided: DataFrame, banding: Banding, name:
     return edges.select(F.col("doc_id").alias("a"), "b")
 
 
+def _exact_pairs(scratch: Scratch, texts: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components that may be similar; no similar pair is missing.
+
+    Similar sets share one of their rarest n - ceil(percent * n / 100) + 1 shingles. Of the pairs that do, those go on whose
+    lengths, places of the shared shingle and parities allow the similarity: bits by which two parities differ are never
+    more than the shingles by which the sets do. Only lists of a shingle that hold several components are joined,
+    long ones by several tasks.
+    """
+    row = ["doc_id", "k1", "k2", "n"]
+    sets = texts.mapInArrow(_sets(width), _SETS).groupBy(*row).agg(F.first("parity").alias("parity"), F.first("shingles").alias("shingles"))
+    sets = scratch.write(sets, "sets")
+    each = sets.select(*row, F.explode("shingles").alias("sig"))
+    counts = scratch.write(each.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1"), "counts")
+    ranked = each.join(counts.hint("merge"), "sig", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    length = (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int")
+    rare = ranked.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("f", "sig"))).alias("all"))
+    rare = rare.select(*row, F.posexplode(F.slice("all", F.lit(1), length)).alias("place", "x")).where("x.f > 1")
+    placed = sets.select("doc_id", "k1", "k2", "parity").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
+    prefix = rare.select(*row, (F.col("n") - F.col("place")).alias("rest"), F.col("x.sig").alias("sig")).join(placed, ["doc_id", "k1", "k2"])
+    prefix = scratch.write(prefix, "prefix")
+    several = prefix.groupBy("sig").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
+    several = scratch.write(several.where("low < high").select("sig", F.ceil(F.col("f") / LIST_PART).alias("tasks")), "lists")
+    lists = scratch.write(prefix.join(several.hint("merge"), "sig"), "listed")
+
+    def side(name: str, task: Column) -> DataFrame:
+        return lists.select("sig", task.alias("task"), *[F.col(c).alias(f"{c}_{name}") for c in ("doc_id", "n", "rest", "component", "parity")])
+
+    one = side("a", F.pmod(F.xxhash64("doc_id", "k1"), "tasks"))
+    other = side("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
+    both = F.col("n_a") + F.col("n_b")
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    may = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
+    may &= 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    may &= (100 + percent) * F.least("rest_a", "rest_b") >= percent * both
+    may &= (100 + percent) * differ <= (100 - percent) * both
+    keys = [one[c] == other[c] for c in ("sig", "task")]
+    return one.join(other.hint("merge"), [*keys, may]).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+
+
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Banding = Banding(), fine: Banding = FINE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -234,7 +305,9 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Band
     edges to its most central member: n - 1 for a bucket of n. Of buckets that then still hold several components, those
     of at most ``banding.small`` members get all edges between components. Members of larger ones are hashed again
     into ``fine`` bands, whose buckets are small also within a crowd of half-similar texts, and get edges between components to
-    ``fine.centres`` centres. Every edge is confirmed on the full sets; edges grow with the number of members of buckets.
+    ``fine.centres`` centres. What is left of them, members of buckets still divided, is joined exactly. So two similar
+    texts end in one component wherever they share a bucket of ``banding``, whatever ``fine`` finds. Every edge is confirmed on the
+    full sets; those of buckets grow with the number of members.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -262,10 +335,15 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Band
     divided = _divided(scratch, shared, parts, "coarse")
     confirmed.test(_several_stars(scratch, divided.where(F.col("n") <= banding.small), banding, "coarse"), texts)
     crowd = scratch.write(divided.where(F.col("n") > banding.small).select("doc_id").distinct(), "crowd", rows=divided.count())
+    crowded = shared.where(F.col("n") > banding.small)
     again = texts.join(crowd, "doc_id").mapInArrow(_sign(fine, width), _SIGNED).select("doc_id", F.explode("bands").alias("bucket"))
     again = scratch.write(again, "again")
     shared = _shared_buckets(scratch, again.distinct(), "fine", again.count())
     confirmed.test(_several_stars(scratch, _divided(scratch, shared, parts, "fine"), fine, "fine"), texts)
+    parts = connected_components(confirmed.links(), scratch, "second")
+    left = _divided(scratch, crowded, parts, "left").select("doc_id").distinct()
+    left = scratch.write(texts.join(left, "doc_id"), "left-texts")
+    confirmed.test(_exact_pairs(scratch, left, parts, width, percent), texts)
 
     parts = connected_components(confirmed.links(), scratch, "last").withColumnRenamed("node", "rep")
     scratch.keep("signed", "members", *[name for name in scratch.names if name.startswith("last-edges")])

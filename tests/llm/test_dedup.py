@@ -93,6 +93,21 @@ def test_near_of_crowded_buckets(docs_of):
     assert {(r.doc_id, r.component_id) for r in found.collect()} == {(d, c) for d, (_, c) in want.items()}
 
 
+def test_near_of_crowds_that_centres_leave_divided(docs_of):
+    """Every text shares buckets with all others, and one centre a bucket finds next to none of the pairs."""
+    rng = np.random.default_rng(6)
+    core = [f"c{i}" for i in range(60)]
+    pairs = []
+    for i in range(60):
+        text = " ".join(core + [f"d{i}-{k}" for k in range(12)])
+        pairs += [(2 * i, text), (2 * i + 1, text + f" e{i}")]
+    order = rng.permutation(len(pairs))
+    coarse, fine = near.Banding(rows=1, bands=3, small=2), near.Banding(rows=1, bands=2, small=2, centres=1)
+    found = near.near_dedup(docs_of([pairs[i] for i in order]), 3, 85, coarse, fine)
+    want = brute.near_dedup(pairs, 3, 85)
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(d, c) for d, (_, c) in want.items()}
+
+
 def test_near_of_repeated_rows_and_null_ids(docs_of):
     text = "some words that stand in a row for a while"
     found = near.near_dedup(docs_of([(None, text), (9, text), (9, text), (3, text), (9, "quite another text of some words")]), 3, 85)
