@@ -108,6 +108,22 @@ def test_near_of_crowds_that_centres_leave_divided(docs_of):
     assert {(r.doc_id, r.component_id) for r in found.collect()} == {(d, c) for d, (_, c) in want.items()}
 
 
+def test_near_of_crowds_at_80_percent_needs_no_fine_bands(docs_of):
+    """Pairs little above 0.8 within a crowd share a band of 16 rows rarely; they are found without one."""
+    rng = np.random.default_rng(7)
+    core = [f"c{i}" for i in range(60)]
+    pairs = []
+    for i in range(60):
+        own = [f"d{i}-{k}" for k in range(12)]
+        pairs += [(2 * i, " ".join(core + own)), (2 * i + 1, " ".join(core + own[:5] + [f"e{i}-{k}" for k in range(7)]))]
+    order = rng.permutation(len(pairs))
+    coarse, fine = near.Banding(rows=1, bands=6, small=2), near.Banding(rows=16, bands=1, small=16)
+    found = near.near_dedup(docs_of([pairs[i] for i in order]), 5, 80, coarse, fine)
+    want = brute.near_dedup(pairs, 5, 80)
+    assert len({c for _, c in want.values()}) == 60
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(d, c) for d, (_, c) in want.items()}
+
+
 def test_near_of_repeated_rows_and_null_ids(docs_of):
     text = "some words that stand in a row for a while"
     found = near.near_dedup(docs_of([(None, text), (9, text), (9, text), (3, text), (9, "quite another text of some words")]), 3, 85)
