@@ -18,13 +18,15 @@ def result_rows(results: DataFrame, store_id: str | None = None) -> DataFrame:
 
 
 def format_table(rows: DataFrame, columns: tuple[str, ...], limit: int = 10_000) -> str:
-    """Padded text of at most ``limit`` rows; "(sin filas)" where there are none."""
+    """Padded text of at most ``limit`` rows and the number of rows left out; "(sin filas)" where there are none."""
     found = [["" if v is None else str(v) for v in row] for row in rows.select(*columns).limit(limit).collect()]
     if not found:
         return "(sin filas)"
     widths = [max(len(row[i]) for row in [list(columns), *found]) for i in range(len(columns))]
     line = lambda cells: " | ".join(cell.ljust(width) for cell, width in zip(cells, widths, strict=True))
-    return "\n".join([line(columns), "-+-".join("-" * width for width in widths), *map(line, found)])
+    left_out = rows.count() - len(found) if len(found) == limit else 0
+    more = [f"({left_out} filas más)"] if left_out else []
+    return "\n".join([line(columns), "-+-".join("-" * width for width in widths), *map(line, found), *more])
 
 
 def summary(results: DataFrame, rejects: DataFrame) -> dict:
