@@ -69,6 +69,8 @@ def _drop_scratch() -> None:
     """At the end of the application its scratch tables go, as far as its session still runs."""
     for scratch in _made:
         if scratch.spark.sparkContext._jsc is not None:
+            for name in list(scratch.tables):
+                scratch.drop(name)
             scratch.drop("")
 
 
@@ -83,6 +85,7 @@ class Scratch:
         bound_batches(spark)
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
+        self.tables: dict[str, str] = {}
         _made.append(self)
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
@@ -97,6 +100,17 @@ class Scratch:
         self.names.add(name)
         return self.read(name, df)
 
+    def write_bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> None:
+        """Write an external table, bucketed and sorted by ``keys``; read it with ``bucketed``."""
+        table = f"salegrain_{uuid.uuid4().hex}"
+        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}")
+        writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+        self.names.add(name)
+        self.tables[name] = table
+
+    def bucketed(self, name: str) -> DataFrame:
+        return self.spark.table(self.tables[name])
+
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
 
@@ -113,6 +127,8 @@ class Scratch:
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
         self.names.discard(name)
+        if name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -145,6 +161,15 @@ def documents_of(docs: DataFrame, carry: bool = False) -> DataFrame:
     )
 
 
+def id_ranges(docs: DataFrame, parts: int) -> Column:
+    """0 .. parts - 1 by rising ``_id`` of ``docs``: equal ids, also very many, are in one range.
+
+    The bounds are approximate quantiles of the ids alone, so ranges are of about equal size.
+    """
+    bounds = sorted({min(int(b), 2**63 - 1) for b in docs.approxQuantile("_id", [i / parts for i in range(1, parts)], 0.01)}) if parts > 1 else []
+    return sum(((F.col("_id") > bound).cast("int") for bound in bounds), F.lit(0))
+
+
 def crc_fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; the fold 1 is held out from every training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3

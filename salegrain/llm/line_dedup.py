@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, ascii_lower, documents_of, let
+from .common import ASCII_SPACE, Scratch, ascii_lower, documents_of, id_ranges, let
 from .sorted_runs import SortedRuns
 
 
@@ -53,31 +53,45 @@ def without_lines(text: Column, dropped: Column) -> Column:
 
 
 class LineIndex:
-    """Incremental index of line keys: the number of documents with a key and the largest id among them.
+    """Incremental index of line keys: in how many documents a key stands, and which one keeps its lines.
 
-    ``add`` takes a batch of documents, ``dropped`` says which lines of the batches added so far go by the index as
-    it stands. A cluster that gets documents daily adds each day's batch and merge-joins it with the runs.
+    Batches come from the largest ids down. ``add`` merge-anti-joins a batch with each run of the index: keys that no run
+    holds are seen for the first time, so the batch's largest id keeps them; other keys only add to the number of
+    documents. Then the batch becomes a run itself. Which lines go is known when the last batch is in, as a key's
+    ``min_docs``-th document may come late: ``dropped`` is that correction.
     """
 
-    def __init__(self, spark, min_chars: int = 40, min_docs: int = 5, fanout: int = 4):
+    def __init__(self, spark, min_chars: int = 40, min_docs: int = 5, fanout: int = 2):
         self.min_chars, self.min_docs = min_chars, min_docs
-        self.runs = SortedRuns(
-            spark, "line-runs", ["h1", "h2"], {"n_docs": F.sum, "last_id": F.max}, fanout
-        )
+        self.runs = SortedRuns(spark, "line-runs", ["h1", "h2"], {"n_docs": "sum", "last_id": "max"}, fanout)
         self.scratch = Scratch(spark, "line-batches")
+        self.keepers: list[DataFrame] = []
 
     def hashes(self, docs: DataFrame) -> DataFrame:
         """_id, _th, h1, h2, pos, first for every long line of ``docs`` (doc_id, text)."""
         return documents_of(docs).select("_id", "_th", F.inline(line_hashes(F.col("text"), self.min_chars)))
 
+    def unseen(self, staged: str) -> DataFrame:
+        """The rows of a staged run whose keys no run of the index holds."""
+        new = self.runs.table(staged)
+        for run in self.runs.runs():
+            new = new.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+        return new
+
     def add(self, hashes: DataFrame) -> None:
-        """Add a batch of ``hashes`` (written ones, as they are counted) as a sorted run."""
-        rows = hashes.select("h1", "h2", F.col("first").cast("long").alias("n_docs"), F.col("_id").alias("last_id"))
-        self.runs.add(rows, hashes.count())
+        """Take in a batch of ``hashes``, all with smaller ids than those before."""
+        staged = self.runs.stage(hashes.select("h1", "h2", F.col("first").cast("long").alias("n_docs"), F.col("_id").alias("last_id")))
+        new = self.unseen(staged).select("h1", "h2", "last_id")
+        self.keepers.append(self.scratch.write(new, f"keepers-{len(self.keepers)}", rows=self.runs.table(staged).count()))
+        self.runs.push(staged)
 
     def dropped(self, hashes: DataFrame) -> DataFrame:
-        """_id, _th, positions (sorted) of lines whose key is common and whose document is not its last."""
-        common = self.runs.read().where(F.col("n_docs") >= self.min_docs)
+        """_id, _th, positions (sorted) of lines whose key is common and whose document does not keep it."""
+        keepers = self.keepers[0]
+        for more in self.keepers[1:]:
+            keepers = keepers.unionByName(more)
+        common = self.runs.read().where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+        common = keepers.join(common.hint("merge"), ["h1", "h2"])
         return (
             hashes.join(common.hint("merge"), ["h1", "h2"])
             .where(F.col("_id") != F.col("last_id"))
@@ -86,24 +100,24 @@ class LineIndex:
         )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4, carry: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2, carry: bool = False) -> DataFrame:
     """doc_id, kept (the text without repeated lines), n_lines, n_dropped for every row of ``docs``.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. A key of at least ``min_chars`` code
     points found in at least ``min_docs`` documents loses all its lines but those of the largest doc_id that holds it.
     Null and empty texts are one empty line. Each row counts as a document; a null doc_id counts as the smallest; rows
-    with the same largest doc_id all keep the line. An empty table gives no rows. Other columns are ignored, or
-    come along in a struct ``_row`` with ``carry``.
+    with the same largest doc_id all keep the line. Texts are split and joined whole, however long. An empty table gives no rows. Other
+    columns, whatever their names, are ignored, or come along in a struct ``_row`` with ``carry``.
 
-    The line hashes are written once, cut into ``batches`` of input splits; each batch adds a sorted run.
+    The line hashes are written once, in ``batches`` of falling ids, and each batch meets the runs of those before.
     """
     spark = docs.sparkSession
     index = LineIndex(spark, min_chars, min_docs, fanout)
-    hashes = index.hashes(docs).withColumn("batch", F.pmod(F.spark_partition_id(), F.lit(batches)))
+    ranges = id_ranges(documents_of(docs).select("_id"), batches)
+    hashes = index.hashes(docs).withColumn("batch", ranges)
     hashes = index.scratch.write(hashes, "hashes", partition_by="batch")
-    for batch in range(batches):
+    for batch in reversed(range(batches)):
         index.add(hashes.where(F.col("batch") == batch))
-    index.runs.compact()
     text = F.coalesce(F.col("text"), F.lit(""))
     joined = documents_of(docs, carry).join(index.dropped(hashes.drop("batch")).hint("merge"), ["_id", "_th"], "left")
     return joined.select(

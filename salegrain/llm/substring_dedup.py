@@ -15,24 +15,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents_of
+from .common import Scratch, documents_of, id_ranges
 from .sorted_runs import SortedRuns
 from .words import SPACED, Words, mix, powers, slices, text_arrays
 
 _U = np.uint64
 _STEP = 0xD6E8FEB86659FD93
 _BACK = pow(_STEP, -1, 2**64)
-#: A place in a document as one long: first word, number of further windows, and 16 bits of the text's hash, which
-#: keep rows apart that share an id.
-_LO, _SPAN = 20, 16
+#: A place in a document as one long: the first word, and in the last four bits the number of further windows.
+_SPAN, _MORE = 4, 15
 
 
 class Fingerprints:
     """Rolling hashes over the words of some texts."""
 
-    def __init__(self, words: Words, window: int, gram: int):
+    def __init__(self, words: Words, window: int, gram: int, hashes: np.ndarray | None = None):
         self.words, self.window, self.gram = words, window, gram
-        self.hashes = words.hashes()
+        self.hashes = words.hashes() if hashes is None else hashes
         n = len(self.hashes)
         self.sums = np.append(_U(0), np.cumsum(self.hashes * powers(_STEP, n)))
         self.back = powers(_BACK, n + 1)
@@ -75,11 +74,10 @@ def _anchor_rows(window: int, gram: int):
             anchor = prints.ranges(place, place + gram) if len(place) else np.empty(0, _U)
             context = prints.ranges(low, high + window) if len(place) else np.empty(0, _U)
             context = mix(context + ((high - low) * window + (place - low)).astype(_U))
-            ids = batch.column("_id").to_numpy(zero_copy_only=False)[text]
-            marks = batch.column("_tx").to_numpy(zero_copy_only=False)[text]
-            loc = ((low - words.bounds[text]) << _LO) | ((high - low) << _SPAN) | marks
-            columns = [anchor.view(np.int64), context.view(np.int64), ids, loc]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "c", "_id", "loc"])
+            loc = ((low - words.bounds[text]) << _SPAN) | (high - low)
+            keys = [batch.column(name).to_numpy(zero_copy_only=False)[text] for name in ("_id", "_th", "batch")]
+            columns = [pa.array(c, pa.int64()) for c in (anchor.view(np.int64), context.view(np.int64), *keys[:2], loc)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys[2], pa.int32())], names=["a", "c", "_id", "_th", "loc", "batch"])
 
     return run
 
@@ -89,18 +87,17 @@ def _window_rows(window: int):
         for batch in slices(batches, "text"):
             words = Words(*text_arrays(batch.column("text")), SPACED)
             prints = Fingerprints(words, window, window)
-            out = [[], [], [], []]
-            rows = zip(batch.column("_id").to_pylist(), batch.column("_tx").to_pylist(), batch.column("locs"), strict=True)
-            for r, (doc, mark, locs) in enumerate(rows):
+            check = Fingerprints(words, window, window, mix(prints.hashes + _U(0x2545F4914F6CDD1D)))
+            parts = []
+            for r, locs in enumerate(batch.column("locs")):
                 loc = locs.values.to_numpy(zero_copy_only=False)
-                span = ((loc >> _SPAN) & 15) + 1
-                start = np.repeat(loc >> _LO, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                at = start + words.bounds[r]
-                first = prints.ranges(at, at + window)
-                second = mix((prints.sums[at + window] - prints.sums[at]) * prints.back[at] + prints.hashes[at] + _U(0x2545F4914F6CDD1D))
-                for column, values in zip(out, (first.view(np.int64), second.view(np.int64), np.full(len(at), doc), (start << _LO) | mark), strict=True):
-                    column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["w1", "w2", "_id", "loc"])
+                span = (loc & _MORE) + 1
+                start = np.repeat(loc >> _SPAN, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+                parts.append((np.full(len(start), r), start, start + words.bounds[r]))
+            row, start, at = (np.concatenate(column) for column in zip(*parts, strict=True))
+            keys = [batch.column(name).to_numpy(zero_copy_only=False)[row] for name in ("_id", "_th")]
+            columns = [prints.ranges(at, at + window).view(np.int64), check.ranges(at, at + window).view(np.int64), *keys, start << _SPAN]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["w1", "w2", "_id", "_th", "loc"])
 
     return run
 
@@ -114,10 +111,10 @@ def _cut(window: int):
                 gone = 0
                 if locs.is_valid:
                     loc = locs.values.to_numpy(zero_copy_only=False)
-                    low = loc >> _LO
+                    low = loc >> _SPAN
                     change = np.zeros(len(words) + 1, np.int32)
                     np.add.at(change, low, 1)
-                    np.add.at(change, low + ((loc >> _SPAN) & 15) + window, -1)
+                    np.add.at(change, low + (loc & _MORE) + window, -1)
                     stays = np.cumsum(change[:-1]) == 0
                     gone = len(words) - int(stays.sum())
                     words = [word for word, stay in zip(words, stays.tolist(), strict=True) if stay]
@@ -131,70 +128,103 @@ def _cut(window: int):
 
 
 class SubstringIndex:
-    """The historical index: for each anchor its occurrences' number, first place, and least and greatest context."""
+    """The historical index: for each anchor its occurrences' number, first place, and least and greatest context.
 
-    def __init__(self, spark: SparkSession, window: int = 20, gram: int = 6, fanout: int = 4):
+    Batches come by rising ids, so that what the index holds starts earlier than what comes. Runs are bucketed by anchor:
+    a batch is shuffled once, to become a run, and meets the runs of the index without a shuffle or a sort.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = 20, gram: int = 6, fanout: int = 2):
         if not gram <= window <= gram + 15:
             raise ValueError("a window has 1 to 16 sub-windows")
         self.window, self.gram = window, gram
-        merge = {"n": F.sum, "c_min": F.min, "c_max": F.max, "first": F.min}
+        merge = {"n": "sum", "c_min": "min", "c_max": "max", "first": "min"}
         self.runs = SortedRuns(spark, "substring-runs", ["a"], merge, fanout)
 
     def anchors(self, docs: DataFrame) -> DataFrame:
-        """a, c, _id, loc for every anchor occurrence of ``docs`` (_id, _tx, text)."""
-        return docs.select("_id", "_tx", "text").mapInArrow(_anchor_rows(self.window, self.gram), "a long, c long, _id long, loc long")
-
-    def add(self, docs: DataFrame) -> None:
-        """Write a batch's anchors as a sorted run; full levels are compacted."""
-        rows = self.anchors(docs)
-        self.runs.add(rows.select("a", F.lit(1).cast("long").alias("n"), F.col("c").alias("c_min"), F.col("c").alias("c_max"), F.struct("_id", "loc").alias("first")))
+        """a, c, _id, _th, loc, batch for every anchor occurrence of ``docs`` (_id, _th, batch, text)."""
+        return docs.select("_id", "_th", "batch", "text").mapInArrow(_anchor_rows(self.window, self.gram), _ANCHORS)
 
-    def repeated(self, docs: DataFrame) -> DataFrame:
-        """The anchor occurrences of ``docs`` that the index holds more than once, by a merge join with the runs.
+    def meet(self, staged: str) -> DataFrame:
+        """The anchors of a staged batch that stand more than once in index and batch, by merge joins with each run.
 
-        ``mixed`` marks anchors with several contexts, ``again`` occurrences other than an unmixed anchor's first.
+        a, mixed (several contexts so far), first (the earliest place), and for anchors that the index knew with one
+        context only and that are mixed now, that context ``c_old``, whose first place is ``first``.
         """
-        known = self.runs.read().where(F.col("n") > 1).select("a", (F.col("c_min") != F.col("c_max")).alias("mixed"), "first")
-        found = self.anchors(docs).join(known.hint("merge"), "a")
-        return found.select("a", "c", "_id", "loc", "mixed", (F.struct("_id", "loc") != F.col("first")).alias("again"))
-
-
-def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 6, batches: int = 2, fanout: int = 2) -> DataFrame:
+        met = self.runs.table(staged).select("a", *[F.col(c).alias(f"{c}_0") for c in _STATE])
+        runs = self.runs.runs()
+        for i, run in enumerate(runs, 1):
+            met = met.join(run.select("a", *[F.col(c).alias(f"{c}_{i}") for c in _STATE]).hint("merge"), "a", "left")
+        over = lambda how, name, of: how(*of, F.lit(None)) if (of := [F.col(f"{name}_{i}") for i in of]) else F.lit(None).cast("long")
+        old, every = range(1, len(runs) + 1), range(len(runs) + 1)
+        c_min, c_max = over(F.least, "c_min", every), over(F.greatest, "c_max", every)
+        was_one = over(F.least, "c_min", old) == over(F.greatest, "c_max", old)
+        n = sum((F.coalesce(f"n_{i}", F.lit(0)) for i in every), F.lit(0))
+        mixed = c_min != c_max
+        state = met.select("a", n.alias("n"), mixed.alias("mixed"), F.least(*[F.col(f"first_{i}") for i in every], F.lit(None)).alias("first"), F.when(mixed & was_one, over(F.least, "c_min", old)).alias("c_old"))
+        return state.where("n > 1").drop("n")
+
+    def add(self, staged: str) -> None:
+        """Take the batch into the index; full levels are compacted."""
+        self.runs.push(staged)
+
+    def stage(self, anchors: DataFrame) -> str:
+        """Write a batch's anchors as a sorted run that is not yet part of the index."""
+        place = F.struct("_id", "_th", "loc").alias("first")
+        return self.runs.stage(anchors.select("a", F.lit(1).cast("long").alias("n"), F.col("c").alias("c_min"), F.col("c").alias("c_max"), place))
+
+
+_ANCHORS = "a long, c long, _id long, _th long, loc long, batch int"
+_STATE = ("n", "c_min", "c_max", "first")
+
+
+def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 6, batches: int = 3, fanout: int = 2) -> DataFrame:
     """doc_id, kept, n_words, n_removed for every row of ``docs`` (doc_id, text).
 
     Words are runs of anything but ASCII white space. Every word goes that lies in a window of ``window`` words whose
     sequence also starts earlier: in a smaller doc_id, or earlier in the same document; ``kept`` joins the others by
     one space. Windows are judged on the input. Null and empty texts, and texts shorter than a window, lose nothing. A null doc_id counts as the
-    smallest. Identical rows are one document and lose the same words; other rows that share an id go by their place.
-    An empty table gives no rows.
+    smallest. Identical rows are one document and lose the same words; other rows that share an id, however many, go by
+    the hash of their text. A text is never cut, so a worker's memory holds about 100 bytes for each byte of the longest. Other columns, whatever their names, are
+    ignored. An empty table gives no rows.
 
-    The batches' anchors go into sorted runs. Each batch is then merge-joined with the compacted index: anchors
-    with one context are settled by it. For anchors with several, each context's first occurrence is verified window by
-    window on 128-bit hashes, and its other occurrences are repeats as a whole.
+    Anchors are written once, in batches of rising ids. Each batch is merge-joined with the index so far and then added to it: an
+    anchor that had one context until then is settled by that. For anchors with several, each context's first occurrence is verified
+    window by window on two independent 64-bit hashes, and its other occurrences are repeats as a whole.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    source = documents_of(docs).withColumn("_tx", F.pmod(F.col("_th"), F.lit(65536)))
+    source = documents_of(docs)
     index = SubstringIndex(spark, window, gram, fanout)
+    ranges = id_ranges(source.select("_id"), batches)
+    occurrences = scratch.write(index.anchors(source.withColumn("batch", ranges)), "anchors", partition_by="batch")
+    met = None
     for batch in range(batches):
-        index.add(source.where(F.pmod(F.xxhash64("_id"), F.lit(batches)) == batch))
+        staged = index.stage(occurrences.where(F.col("batch") == batch))
+        known = scratch.write(index.meet(staged).withColumn("batch", F.lit(batch)), f"met-{batch}", rows=index.runs.table(staged).count())
+        met = known if met is None else met.unionByName(known)
+        index.add(staged)
         scratch.release()
-    index.runs.compact()
-    found = scratch.write(index.repeated(source), "found")
     index.runs.clear()
+
+    place = ["_id", "_th", "loc"]
+    found = occurrences.join(met.select("a", "batch", "mixed", "first").hint("merge"), ["a", "batch"])
+    found = scratch.write(found.select("a", "c", *place, "mixed", (F.struct(*place) != F.col("first")).alias("again")), "found")
+    scratch.drop("anchors")
     scratch.release()
-    settled = found.where(~F.col("mixed") & F.col("again")).select("_id", "loc")
-    mixed = found.where("mixed").select("a", "c", "_id", "loc")
-    firsts = scratch.write(mixed.groupBy("a", "c").agg(F.min(F.struct("_id", "loc")).alias("first")), "firsts", rows=found.count())
-    again = mixed.join(firsts.hint("merge"), ["a", "c"]).where(F.struct("_id", "loc") != F.col("first")).select("_id", "loc")
-    mark = F.pmod(F.col("loc"), F.lit(65536)).alias("_tx")
-    asked = firsts.select("first.*").groupBy("_id", mark).agg(F.collect_list("loc").alias("locs"))
-    windows = source.select("_id", "_tx", "text").join(asked.hint("merge"), ["_id", "_tx"])
-    windows = scratch.write(windows.mapInArrow(_window_rows(window), "w1 long, w2 long, _id long, loc long"), "windows")
+    settled = found.where(~F.col("mixed") & F.col("again")).select(*place)
+    mixed = found.where("mixed").select("a", "c", *place)
+    earlier = met.where("c_old is not null").select("a", F.col("c_old").alias("c"), "first.*")
+    firsts = mixed.unionByName(earlier).groupBy("a", "c").agg(F.min(F.struct(*place)).alias("first"))
+    firsts = scratch.write(firsts, "firsts", rows=found.count())
+    again = mixed.join(firsts.hint("merge"), ["a", "c"]).where(F.struct(*place) != F.col("first")).select(*place)
+    asked = firsts.select("first.*").groupBy("_id", "_th").agg(F.collect_set("loc").alias("locs"))
+    windows = source.select("_id", "_th", "text").join(asked.hint("merge"), ["_id", "_th"])
+    windows = scratch.write(windows.mapInArrow(_window_rows(window), "w1 long, w2 long, _id long, _th long, loc long"), "windows")
     scratch.release()
-    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("_id", "loc")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    earliest = scratch.write(earliest.drop("n"), "earliest", rows=windows.count())
-    single = windows.join(earliest.hint("merge"), ["w1", "w2"]).where(F.struct("_id", "loc") != F.col("first")).select("_id", "loc")
-    gone = settled.unionByName(again).unionByName(single).groupBy("_id", mark).agg(F.collect_list("loc").alias("locs"))
-    judged = source.select("doc_id", "_id", "_tx", "text").join(gone.hint("merge"), ["_id", "_tx"], "left")
+    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct(*place)).alias("first"), F.max(F.struct(*place)).alias("last")).where("first != last")
+    earliest = scratch.write(earliest.drop("last"), "earliest", rows=windows.count())
+    single = windows.join(earliest.hint("merge"), ["w1", "w2"]).where(F.struct(*place) != F.col("first")).select(*place)
+    gone = settled.unionByName(again).unionByName(single).groupBy("_id", "_th").agg(F.collect_set("loc").alias("locs"))
+    judged = source.select("doc_id", "_id", "_th", "text").join(gone.hint("merge"), ["_id", "_th"], "left")
     return judged.select("doc_id", "text", "locs").mapInArrow(_cut(window), "doc_id long, kept string, n_words long, n_removed long")
