@@ -18,6 +18,8 @@ from .words import slices
 
 #: Pre-tokenization pattern of the byte-level vocabulary; a fixed value of the public tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Strings that are one token wherever they stand, beside the vocabulary's ranks; a fixed value of the public tokenizer.
+SPECIAL = {"<|endoftext|>": 50256}
 _encodings: dict[int, object] = {}
 
 
@@ -28,10 +30,17 @@ def encoding(vocabulary: bytes):
     key = zlib.crc32(vocabulary)
     if key not in _encodings:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
-        _encodings[key] = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encodings[key] = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _encodings[key]
 
 
+def token_ids(encoder, text: str) -> list[int]:
+    """The ids of a text; special strings in it are their own ids."""
+    if any(special in text for special in SPECIAL):
+        return encoder.encode(text, allowed_special="all")
+    return encoder.encode_ordinary(text)
+
+
 _PIECES = pa.schema([("doc_id", pa.int64()), ("_id", pa.int64()), ("_th", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECES_DDL = "doc_id long, _id long, _th long, piece int, start long, length long, ids_crc32 long"
 
@@ -46,12 +55,12 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 
 def _tokenize(vocabulary, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary.value).encode_ordinary
+        encoder = encoding(vocabulary.value)
         for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in _PIECES]
             keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_id", "_th")), strict=True)
             for key, text in zip(keys, batch.column("text"), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
+                ids = np.array([*token_ids(encoder, text.as_py() or ""), end_id], "<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), most)):
                     row = (*key, piece, start, length, zlib.crc32(ids[start : start + length].tobytes()))
                     for column, value in zip(out, row, strict=True):
@@ -130,6 +139,9 @@ def best_fit(counts: dict[int, int], capacity: Capacity, weights=(1.0, 0.05, 0.0
     return np.array(events, np.int64).reshape(-1, 5), bins
 
 
+#: How many salts of a length are summed up in one group.
+SALTS_IN_BLOCK = 10_000
+
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -150,14 +162,16 @@ def _place(shared):
 def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 2, capacity: Capacity | None = None, weights=(1.0, 0.05, 0.05), rule: str = "norm") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of ``docs``.
 
-    A text's ids are those of the byte-level BPE in ``vocabulary_path`` (lines "base64 rank"), special strings taken as
-    ordinary text, then ``end_id``. Null and empty texts are ``end_id`` alone. A document of more than
-    ``capacity.tokens`` ids is cut into pieces of that many, the first of which may be shorter. Pieces go to sequences
+    A text's ids are those of the byte-level BPE in ``vocabulary_path`` (lines "base64 rank"), the strings of ``SPECIAL`` as
+    ids of their own, then ``end_id``. Null and empty texts are ``end_id`` alone. A document of more than
+    ``capacity.tokens`` ids, however long, is cut into pieces of that many, the first of which may be shorter. Pieces go to sequences
     by ``best_fit``, under the limits of ``capacity`` (by default only tokens bind); offsets in a sequence are gapless.
-    Repeated rows and null ids are packed like any other. An empty table gives no rows.
+    Repeated rows and null ids are packed like any other; pieces of equal length are interchangeable, and ties of the score go to the residue that
+    came up first. Other columns, whatever their names, are ignored. An empty table gives no rows.
 
     Only the number of pieces of each length (at most ``capacity.tokens`` numbers) comes to the driver, and the
-    plan of at most some thousand events goes back. Ranks within a length are taken in salted groups of about 200.
+    plan of at most some thousand events goes back. Ranks within a length are taken in salted groups of about 200 pieces, and the
+    groups' sizes are summed up in two levels, so that a length that most pieces have is not one task.
     """
     spark = docs.sparkSession
     capacity = capacity or Capacity()
@@ -176,8 +190,11 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 2, capacity: Capac
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_id", "_th", "piece", F.monotonically_increasing_id()), F.element_at(salts, F.col("length").cast("int"))))
     salted = scratch.write(salted, "salted")
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = scratch.write(sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "sizes")
+    sizes = scratch.write(sizes.withColumn("_block", F.floor(F.col("_salt") / SALTS_IN_BLOCK)), "sizes")
+    before = lambda by, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("length", "_block").agg(F.sum("_n").alias("_n")).select("length", "_block", before(["length"], "_block").alias("_base"))
+    sizes = sizes.withColumn("_before", before(["length", "_block"], "_salt")).join(blocks, ["length", "_block"])
+    sizes = sizes.select("length", "_salt", (F.col("_base") + F.col("_before")).alias("_before"))
     within = Window.partitionBy("length", "_salt").orderBy("_id", "_th", "piece")
     ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(sizes, ["length", "_salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_rank")).alias("rank"))
