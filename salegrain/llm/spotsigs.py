@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWEST_ID, Scratch, documents_of, let
+from .common import Scratch, documents_of, let
 
 #: Common words of English, French, German and Spanish; fixed values.
 ANCHORS = tuple(
@@ -95,21 +95,21 @@ def fingerprint_documents(docs: DataFrame, chain: int = 2) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's. Null texts are empty. The next document is the next distinct row by doc_id, of rows that share an id
-    the next by the text's hash; a null id counts as the smallest, -2**63, which comes back as null; a single row follows itself. Repeated rows
-    give the same result each. An empty table gives no rows.
+    the next by the text's hash; a null id counts as the smallest; a single row follows itself. Repeated rows
+    give the same result each. Texts are signed whole, however long. Other columns, whatever their names, are ignored. An empty table gives no rows.
     """
-    source = documents_of(docs).select("_id", "_th", F.coalesce("text", F.lit("")).alias("text"))
+    source = documents_of(docs).select("doc_id", "_id", "_th", F.coalesce("text", F.lit("")).alias("text"))
     ahead = following_documents(docs)
     before = ahead.select(F.col("next_id").alias("_id"), F.col("next_th").alias("_th"), F.col("_id").alias("for_id"), F.col("_th").alias("for_th"))
     # one of identical rows: lag() shares the join's exchange and sort, and both joins share the texts' exchange
     repeat = F.lag(F.lit(1)).over(Window.partitionBy("_id", "_th").orderBy("_id", "_th"))
-    nexts = source.withColumn("_repeat", repeat).where(F.col("_repeat").isNull()).join(before.hint("merge"), ["_id", "_th"])
+    nexts = source.drop("doc_id").withColumn("_repeat", repeat).where(F.col("_repeat").isNull()).join(before.hint("merge"), ["_id", "_th"])
     nexts = nexts.select(F.col("for_id").alias("_id"), F.col("for_th").alias("_th"), F.col("text").alias("next_text"))
     pairs = source.join(nexts.hint("merge"), ["_id", "_th"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     signed = pairs.select(
-        F.nullif("_id", F.lit(LOWEST_ID)).alias("doc_id"),
+        "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         edited.alias("edited"),
         signatures(F.col("text"), chain).alias("signs"),
