@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold
@@ -62,31 +62,41 @@ class LanguageModel:
         return lang, margin / (margin + 0.02), margin >= self.margin
 
 
+def fill(pieces: list[bytes], most: int) -> list[bytes]:
+    """The pieces, the longest cut to one common length, so that together they have at most ``most`` bytes, and all of them if they can."""
+    sizes, left = sorted(map(len, pieces)), most
+    for i, size in enumerate(sizes):
+        if size * (len(sizes) - i) > left:
+            return [piece[: left // (len(sizes) - i)] for piece in pieces]
+        left -= size
+    return pieces
+
+
 def learn_languages(train: DataFrame, docs_per_language: int = 400, dictionary_bytes: int = 200_000, margin: float = 0.01) -> LanguageModel:
     """Dictionaries from ``train`` (doc_id, text, lang); rows with null text or lang are left out.
 
-    Bounded sample: for each language at most ``docs_per_language`` documents, those with the least hash of their id, and of each an
-    equal share of ``dictionary_bytes`` from its start. Languages go by falling number of documents, so that ties of
-    sizes go to the commoner one.
+    Bounded sample: for each language at most ``docs_per_language`` documents, those with the least hash of their id (ties by text), and of
+    each up to ten equal shares of ``dictionary_bytes`` from a hashed place of its whole text on. All give the same, the short ones all they
+    have, until the dictionary is full. Languages go by falling number of documents, so that ties of
+    sizes go to the commoner one. Their number is that of the distinct values of ``lang``.
     """
     able = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = sorted(((r["lang"], r["n"]) for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()), key=lambda x: (-x[1], x[0]))
     if not counts:
         return LanguageModel((), margin=margin)
-    share = 2 * dictionary_bytes // docs_per_language
+    share = 10 * dictionary_bytes // docs_per_language
     limits = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, 2 * docs_per_language / n))])
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    rows = (
-        able.withColumn("_rank", rank)
-        .where(F.col("_rank") <= F.element_at(limits, F.col("lang")) * (1 << 40))
-        .select("lang", "_rank", F.substring("text", 1, share).alias("start"))
-        .collect()
-    )
+    place = 1 + F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.greatest(F.length("text") - share + 1, F.lit(1)))
+    chosen = able.withColumn("_rank", rank).where(F.col("_rank") <= F.element_at(limits, F.col("lang")) * (1 << 40))
+    piece = F.substring("text", place.cast("int"), F.lit(share)).alias("_piece")
+    rows = chosen.select(F.col("lang").alias("_lang"), "_rank", piece)
+    first = Window.partitionBy("_lang").orderBy("_rank", "_piece")
+    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_language).orderBy("_lang", "_n").collect()
     made = []
     for lang, _ in counts:
-        own = sorted((r["_rank"], r["start"]) for r in rows if r["lang"] == lang)[:docs_per_language]
-        each = dictionary_bytes // max(1, len(own))
-        content = b" ".join(normalise(start).encode()[:each] for _, start in own)
+        pieces = [piece for r in rows if r["_lang"] == lang if (piece := normalise(r["_piece"]).encode())]
+        content = b" ".join(fill(pieces, dictionary_bytes - len(pieces)))
         if len(content) >= 8:
             made.append((lang, content))
     return LanguageModel(tuple(made), margin=margin)
@@ -97,7 +107,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     Texts are lower-cased, cut to letters and compressed whole, piece by piece. ``accepted`` is false where the margin
     between the two smallest sizes is under the model's. Null texts, texts without a letter, and all texts under a model that learned no
-    language are "und" with score 0. Repeated rows and null ids are treated like any row; an empty table gives no rows.
+    language are "und" with score 0; of equal sizes the commoner language wins. Repeated rows and null ids are treated like any row; very long
+    texts are compressed whole; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
