@@ -13,8 +13,6 @@ _ENV = {
     "sales_topic": "KAFKA_TOPICO_VENTAS",
     "aggregates_topic": "KAFKA_TOPICO_AGREGADOS",
     "dlq_topic": "KAFKA_TOPICO_DLQ",
-    "parallelism": "BEAM_PARALLELISM",
-    "job_endpoint": "BEAM_JOB_ENDPOINT",
     "table_path": "SQLITE_PATH",
     "job_name": "BEAM_JOB_NAME",
 }
@@ -33,9 +31,6 @@ class Settings:
     sales_topic: str = "ventas.confirmadas.v1"
     aggregates_topic: str = "ventas.por_ventana.v1"
     dlq_topic: str = "ventas.dlq.v1"
-    parallelism: int = 2
-    job_endpoint: str = ""
-    checkpoint_interval_ms: int = 30_000
     table_path: str = "tmp/ventas"
     job_name: str = "ventas-por-ventana"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESULT_COLUMNS = ("aggregate_id", "window_start", "window_end", "ticket_count", "total_amount_gs", "duplicates_discarded", "pane_index", "pane_timing", "panes_recibidos")
@@ -18,15 +18,20 @@ def result_rows(results: DataFrame, store_id: str | None = None) -> DataFrame:
 
 
 def format_table(rows: DataFrame, columns: tuple[str, ...], limit: int = 10_000) -> str:
-    """Padded text of at most ``limit`` rows and the number of rows left out; "(sin filas)" where there are none."""
-    found = [["" if v is None else str(v) for v in row] for row in rows.select(*columns).limit(limit).collect()]
-    if not found:
+    """A Markdown table of at most ``limit`` rows and the number of rows left out; "(sin filas)" where there are none.
+
+    Cells are padded by Spark to the widest value of their column, which one aggregate finds over all rows.
+    """
+    text = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+    sizes = text.agg(F.count("*").alias("n"), *[F.coalesce(F.max(F.length(c)), F.lit(0)).alias(c) for c in columns]).first()
+    if not sizes["n"]:
         return "(sin filas)"
-    widths = [max(len(row[i]) for row in [list(columns), *found]) for i in range(len(columns))]
-    line = lambda cells: " | ".join(cell.ljust(width) for cell, width in zip(cells, widths, strict=True))
-    left_out = rows.count() - len(found) if len(found) == limit else 0
-    more = [f"({left_out} filas más)"] if left_out else []
-    return "\n".join([line(columns), "-+-".join("-" * width for width in widths), *map(line, found), *more])
+    wide = {c: max(sizes[c], len(c)) for c in columns}
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.rpad(c, wide[c], " ") for c in columns]), F.lit(" |"))
+    body = [r[0] for r in text.select(cells).limit(limit).collect()]
+    head = ["| " + " | ".join(f"{c:<{wide[c]}}" for c in columns) + " |", "|" + "|".join("-" * (wide[c] + 2) for c in columns) + "|"]
+    rest = sizes["n"] - len(body)
+    return "\n".join(head + body + [f"({rest} filas más)"] * (rest > 0))
 
 
 def summary(results: DataFrame, rejects: DataFrame) -> dict:
@@ -42,7 +47,7 @@ def report(results: DataFrame, rejects: DataFrame) -> str:
             "== ventas_por_ventana ==",
             format_table(result_rows(results), RESULT_COLUMNS),
             "\n== rechazos (DLQ) ==",
-            format_table(rejects.orderBy("rechazado_en", "motivo"), REJECT_COLUMNS),
+            format_table(rejects.orderBy(*[c for c in ("batch", "partition", "arrival", "rechazado_en", "motivo") if c in rejects.columns]), REJECT_COLUMNS),
             "\n== resumen ==",
             json.dumps(summary(results, rejects), ensure_ascii=False, indent=2),
         ]
@@ -50,7 +55,7 @@ def report(results: DataFrame, rejects: DataFrame) -> str:
 
 
 def partition_skew(records: DataFrame) -> DataFrame:
-    """Messages of each source partition and key, and their share in hundredths of a percent."""
+    """Messages of each source partition and key, and their share in hundredths of a percent. The total is a scalar subquery."""
     counts = records.groupBy("partition", "key").agg(F.count("*").alias("n"))
-    total = counts.withColumn("total", F.sum("n").over(Window.partitionBy()))
-    return total.select("partition", "key", "n", F.expr("(n * 10000) div total").alias("share_bp"))
+    shared = counts.withColumn("total", records.agg(F.count("*")).scalar())
+    return shared.select("partition", "key", "n", F.expr("(n * 10000) div total").alias("share_bp"))

@@ -35,6 +35,17 @@ def panes_received(panes: DataFrame, key: str = "aggregate_id", order: str = "ar
     return seen.groupBy(key).agg(F.count_if(applied).alias("panes_recibidos"), F.count_if(~applied).alias("panes_ignorados"))
 
 
+def settle(panes: DataFrame, key: str = "aggregate_id", order: str = "arrival") -> DataFrame:
+    """The winning row of each key with panes_recibidos and panes_ignorados: ``final_state`` and ``panes_received`` in one pass."""
+    rest = [c for c in panes.columns if c != key]
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = panes.withColumn("_stored", F.max(version()).over(before))
+    applied = F.col("_stored").isNull() | (version() >= F.col("_stored"))
+    best = F.max_by(F.struct(*rest), version(order)).alias("best")
+    found = seen.groupBy(key).agg(best, F.count_if(applied).alias("panes_recibidos"), F.count_if(~applied).alias("panes_ignorados"))
+    return found.select(key, "best.*", "panes_recibidos", "panes_ignorados")
+
+
 def upsert(stored: DataFrame, panes: DataFrame, key: str = "aggregate_id", order: str = "arrival") -> DataFrame:
     """The table after a batch: ``stored`` (with panes_recibidos) full-outer joined with each key's winner of the batch.
 
@@ -59,11 +70,15 @@ def upsert(stored: DataFrame, panes: DataFrame, key: str = "aggregate_id", order
     return joined.select(key, *chosen, received.alias("panes_recibidos"))
 
 
-def dedup_rejects(rejects: DataFrame) -> DataFrame:
-    """Rejects once each: by (motivo, event_id, mensaje_original) where there is an event id, else by (partition, arrival)."""
+def dedup_rejects(rejects: DataFrame, order: tuple[str, ...] = ("partition", "arrival")) -> DataFrame:
+    """Rejects once each, the first in ``order``: by (motivo, event_id, mensaje_original) where there is an event id, else by (partition, arrival)."""
     anonymous = F.col("event_id").isNull()
     place = F.when(anonymous, F.concat_ws(":", F.col("partition").cast("string"), F.col("arrival").cast("string")))
-    return rejects.withColumn("_place", place).dropDuplicates(["motivo", "event_id", "mensaje_original", "_place"]).drop("_place")
+    keys = ["motivo", "event_id", "mensaje_original"]
+    rest = [c for c in rejects.columns if c not in (*keys, *order)]
+    first = F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first")
+    found = rejects.withColumn("_place", place).groupBy(*keys, "_place").agg(first)
+    return found.select(*[c if c in keys else f"_first.{c}" for c in rejects.columns])
 
 
 def reject_counts(rejects: DataFrame) -> DataFrame:

@@ -18,16 +18,22 @@ LATE_REASON = "demasiado_tardio"
 
 @dataclass(frozen=True)
 class Core:
-    """Accepted sales, final results, and the two kinds of rejects; all lazy, over one validated table."""
+    """Accepted sales, final results, and all rejects as they go to the dead-letter log; lazy, over one judged table."""
 
     accepted: DataFrame
     results: DataFrame
-    invalid: DataFrame
-    very_late: DataFrame
+    rejected: DataFrame
+
+    @property
+    def invalid(self) -> DataFrame:
+        return self.rejected.where(F.col("motivo") != LATE_REASON)
+
+    @property
+    def very_late(self) -> DataFrame:
+        return self.rejected.where(F.col("motivo") == LATE_REASON)
 
     def rejects(self) -> DataFrame:
-        """All rejects, as they go to the dead-letter log."""
-        return self.invalid.unionByName(self.very_late)
+        return self.rejected
 
 
 def accepted_sales(judged: DataFrame) -> DataFrame:
@@ -57,14 +63,12 @@ def judge(records: DataFrame, settings: Settings, scope: list[str] | None = None
     return mark_too_late(validate(records, settings), settings, scope)
 
 
+def core_of(judged: DataFrame, settings: Settings) -> Core:
+    """The core over judged records. Where several of its tables are used, write ``judged`` first and read it again."""
+    accepted = accepted_sales(judged)
+    return Core(accepted, sales_per_window(accepted, settings.window_seconds), reject_rows(judged))
+
+
 def build_core(records: DataFrame, settings: Settings, scope: list[str] | None = None) -> Core:
     """The batch core over records (key, value, partition, arrival, arrival_time)."""
-    judged = judge(records, settings, scope)
-    accepted = accepted_sales(judged)
-    rejects = reject_rows(judged)
-    return Core(
-        accepted,
-        sales_per_window(accepted, settings.window_seconds),
-        rejects.where(F.col("motivo") != LATE_REASON),
-        rejects.where(F.col("motivo") == LATE_REASON),
-    )
+    return core_of(judge(records, settings, scope), settings)

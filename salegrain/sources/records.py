@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -12,9 +12,27 @@ JSONL_SCHEMA = "etiqueta string, key string, timestamp_ms long, headers map<stri
 NOW_MARGIN_SECONDS = 5
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON Lines files. Lines may lack partition, offset and arrival_time; ``with_arrival`` fills them in."""
-    return spark.read.schema(JSONL_SCHEMA).json(path).where("value is not null")
+def read_jsonl(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Records of JSON Lines files, with the file and block that each came from. At most the first ``most`` lines by file, if asked.
+
+    Lines may lack partition, offset and arrival_time; ``with_arrival`` fills them in.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    rows = spark.read.schema(JSONL_SCHEMA).json(path).select("*", *split).where("value is not null")
+    if most is None:
+        return rows
+    return _in_file_order(rows).orderBy("_line").limit(most).drop("_line")
+
+
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """``_line``: rises with file name, place of the block in its file, and line in the block.
+
+    Spark deals files to its tasks by size, so its row numbers alone do not follow the files' order. There is one row
+    for each block in the window, whatever the size of the files.
+    """
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id() % (1 << 33))
+    blocks = rows.select("_file", "_block").distinct().withColumn("_at", F.row_number().over(Window.orderBy("_file", "_block")).cast("long"))
+    return numbered.join(blocks, ["_file", "_block"]).withColumn("_line", F.col("_at") * (1 << 33) + F.col("_row")).drop("_row", "_at")
 
 
 def stream_jsonl(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -30,10 +48,13 @@ def reference_now(records: DataFrame) -> DataFrame:
 def with_arrival(records: DataFrame, now) -> DataFrame:
     """key, value, partition, arrival and arrival_time of records; ``now`` stands in for missing arrival times.
 
-    Records without an offset arrive in the order of their files' lines, which Spark's row numbers follow; in a stream,
-    which has no row numbers, in the order of their times.
+    Records without an offset arrive in the order of their files' names and lines; in a stream, which has no row numbers, in
+    the order of their times.
     """
-    order = F.col("timestamp_ms") if records.isStreaming else F.monotonically_increasing_id()
+    if {"_file", "_block"} <= set(records.columns):
+        records, order = _in_file_order(records), F.col("_line")
+    else:
+        order = F.col("timestamp_ms")
     return records.select(
         F.col("key"),
         F.col("value"),

@@ -50,3 +50,39 @@ def sale_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", iso_utc(F.col("event_time")).alias("event_time"), F.lit("sale.confirmed").alias("event_type"), "key", payload.alias("payload"), F.col("version_in").alias("schema_version")
     )
     return rows.select("key", F.to_json(event).alias("value"), "partition", "arrival", "arrival_time", "n")
+
+
+def malformed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each event, spoilt in one of the ways of ``SPOILT`` by its number; the last way is none."""
+    events = prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
+    texts = F.array(*[F.lit(text) for text, _, _ in SPOILT])
+    value = F.element_at(texts, (F.col("event_id") % len(SPOILT) + 1).cast("int"))
+    return events.select(F.lit("S1").alias("key"), value.alias("value"), F.lit(0).alias("partition"), F.col("event_id").cast("long").alias("arrival"), F.lit(NOON).cast("timestamp").alias("arrival_time"))
+
+
+NOON = "2026-09-21 12:00:00"
+_PAYLOAD = '{"store_id":"S1","pos_id":"p","ticket_id":"t","amount_gs":1000,"items":1,"payment":"qr"}'
+_EVENT = '{"schema_version":2,"event_id":"e","event_type":"sale.confirmed","event_time":"2026-09-21T11:59:00.000Z","key":"S1","payload":%s}'
+_PLAIN = _EVENT % _PAYLOAD
+
+#: (message, reason, detail): a message for each check of the contract, with what it must say of it; the last one is valid.
+SPOILT = (
+    ('{"schema_version"', "json_invalido", "invalid JSON or UTF-8"),
+    ("[1, 2]", "no_es_objeto", "array<bigint>"),
+    ("{}", "campos_faltantes", "schema_version,event_id,event_type,event_time,key,payload"),
+    (_PLAIN.replace('"event_id":"e",', ""), "campos_faltantes", "event_id"),
+    (_PLAIN.replace('version":2', 'version":"2"'), "version_no_soportada", '"2"'),
+    (_PLAIN.replace('version":2', 'version":true'), "version_no_soportada", "true"),
+    (_PLAIN.replace("sale.confirmed", "sale.voided"), "event_type_desconocido", "sale.voided"),
+    (_PLAIN.replace('"event_id":"e"', '"event_id":""'), "event_id_invalido", '""'),
+    (_PLAIN.replace("2026-09-21T11:59:00.000Z", "yesterday"), "event_time_invalido", "yesterday"),
+    (_EVENT % '"text"', "payload_invalido", "string"),
+    (_EVENT % "{}", "payload_incompleto", "store_id,pos_id,ticket_id,amount_gs,items,payment"),
+    (_PLAIN.replace('"key":"S1"', '"key":"S9"'), "clave_inconsistente", "key=S9 store=S1"),
+    (_PLAIN.replace("1000", '"1000"'), "monto_invalido", '"1000"'),
+    (_PLAIN.replace("1000", "0"), "monto_invalido", "0"),
+    (_PLAIN.replace('items":1', 'items":0'), "items_invalido", "0"),
+    (_PLAIN.replace('items":1', 'items":1.5'), "items_invalido", "1.5"),
+    (_PLAIN.replace('"qr"', '"cripto"'), "metodo_pago_desconocido", "cripto"),
+    (_PLAIN, "", ""),
+)
