@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +20,12 @@ from .forest import Forest, fit_forest
 from .summing import partition_sums
 from .words import ALNUM_FOLDED, Words, slices, text_arrays
 
-#: A candidate is a maximal run of at least 12 of these.
+#: A candidate is a maximal run of at least 12 of these, or the value of at least 6 characters that a telling name is given.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{12,}")
+_JOINT = re.compile(r"[=:]")
+_NAMED = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|credential|auth|private_key)[A-Za-z0-9_]{0,16}[\"']?[ \t]{0,2}\Z", re.I)
+_VALUE = re.compile(r"[ \t]{0,2}(?:\"([^\"\s]{6,128})\"|'([^'\s]{6,128})'|([^\s\"',;]{6,128}))")
+_NAME_REACH = 40
 _TRIM = re.compile(r"^(?:[A-Za-z_-]{2,20}=)+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _CUE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api|apikey|key|credential|auth|bearer|private)", re.I)
@@ -68,18 +74,41 @@ class CorpusStatistics:
         return CorpusStatistics(np.log(pairs / pairs.sum(1, keepdims=True)), slots >= max(3.0, 2 * slots.mean()))
 
 
+def named_values(text: str) -> list[tuple[int, int]]:
+    """Spans of the values that names such as ``password`` are given by "=" or ":", in quotes or up to white space."""
+    out: list[tuple[int, int]] = []
+    for m in _JOINT.finditer(text):
+        if out and m.start() < out[-1][1] or not _NAMED.search(text[max(0, m.start() - _NAME_REACH) : m.start()]):
+            continue
+        value = _VALUE.match(text, m.end())
+        if value:
+            start, end = value.span(value.lastindex)
+            if value.lastindex == 3:
+                end = start + len(value[3].rstrip(".)]}>"))
+            if end - start >= 6:
+                out.append((start, end))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of candidate strings; a leading ``name=`` is no part of one."""
-    out = []
+    """Spans of candidate strings by their places, none in another; a leading ``name=`` is no part of one."""
+    out = named_values(text)
+    taken, after = [start for start, _ in out], [end for _, end in out]
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
+        at = bisect.bisect_left(after, start + 1)
+        if at < len(taken) and taken[at] < end:
+            continue
         if name := _TRIM.match(m[0].rstrip("=")):
             start += name.end()
         while end > start and text[end - 1] in "-_/":
             end -= 1
         if end - start >= 12:
             out.append((start, end))
-    return out
+    return sorted(out)
+
+
+_SHARES = tuple(map(frozenset, (string.digits, string.ascii_uppercase, string.ascii_lowercase, "abcdef0123456789", string.punctuation)))
 
 
 def features(text: str, spans: list[tuple[int, int]], path: str, corpus: CorpusStatistics) -> np.ndarray:
@@ -88,8 +117,9 @@ def features(text: str, spans: list[tuple[int, int]], path: str, corpus: CorpusS
     for start, end in spans:
         word = text[start:end]
         n = len(word)
-        share = [sum(map(word.count, set(word) & set(chars))) / n for chars in (string.digits, string.ascii_uppercase, string.ascii_lowercase, "abcdef0123456789")]
-        entropy = -sum(k / n * math.log2(k / n) for k in map(word.count, set(word)))
+        counts = Counter(word)
+        share = [sum(k for c, k in counts.items() if c in chars) / n for chars in _SHARES]
+        entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
         kind = _CLASS[np.frombuffer(word.encode(), np.uint8)]
         parts = [p for p in _PARTS.findall(word) if len(p) >= 3 and p.isalpha()]
         known = 0
@@ -105,7 +135,7 @@ def features(text: str, spans: list[tuple[int, int]], path: str, corpus: CorpusS
             + [bool(_CUE.search(near[-24:])), bool(_DIGEST.search(near[-16:])), near.rstrip()[-1:] in ("=", ":"), before[-1:] in ("'", '"', "`"), after[:1] in ("'", '"', "`")]
             + [bool(_PLACEHOLDER.search(word)), bool(_CUE.search(after)), bool(_PATH_CODE.search(path)), bool(_PATH_NOISE.search(path))]
         )
-    return np.array(rows, float).reshape(len(spans), 18)
+    return np.array(rows, float).reshape(len(spans), 19)
 
 
 @dataclass(frozen=True)
@@ -134,12 +164,16 @@ def labelled_findings(n: int = 6000, seed: int = 5) -> list[Finding]:
     quote = lambda s: rng.choice([s, f'"{s}"', f"'{s}'"])
     cue = lambda: rng.choice(["password", "passwd", "token", "secret", "api_key", "API_KEY", "auth_token", "client_secret", "private_key"])
     joint = lambda: rng.choice(["=", " = ", ": "])
+    symbols = "!@#$%&*?+"
+    mixed = lambda k: "".join(rng.sample(pick(alnum, k - 3) + pick(string.digits, 2) + pick(symbols, 1), k))
     secrets = [
         lambda: ("", "AKIA" + pick(string.ascii_uppercase + string.digits, 16)),
         lambda: ("", rng.choice(["ghp_", "gho_", "sk-", "xoxb-", "glpat-"]) + pick(alnum, rng.randint(20, 48))),
         lambda: (cue() + joint(), pick(hexes, rng.choice([16, 18, 20, 24, 32, 40, 64]))),
         lambda: (cue() + joint(), pick(alnum + "+/", rng.randint(16, 48))),
         lambda: ("Authorization: Bearer ", pick(alnum + "-_", rng.randint(24, 80))),
+        lambda: (cue() + joint(), mixed(rng.randint(8, 16))),
+        lambda: (cue() + joint(), word().capitalize() + pick("!@#$%&*", 1) + pick(string.digits, rng.randint(2, 4)) + pick(alnum, 2)),
     ]
     others = [
         lambda: (rng.choice(["sha256:", "commit ", "etag ", "digest: ", "checksum = ", "md5 "]), pick(hexes, rng.choice([32, 40, 64]))),
@@ -152,6 +186,8 @@ def labelled_findings(n: int = 6000, seed: int = 5) -> list[Finding]:
         lambda: ("https://site.org/", "/".join([word(), word(), word(), pick(string.digits, 4)]) + "/page"),
         lambda: (cue() + joint(), rng.choice(["changeme_please", "your_token_here", "example_password", "xxxxxxxxxxxxxxxx", "insert-secret-here"])),
         lambda: ("", pick(string.digits, rng.randint(12, 19))),
+        lambda: (cue() + joint(), rng.choice(["required", "optional", "string", "hidden", "disabled", "expired", "missing", "invalid", word().ljust(6, "s"), coined()])),
+        lambda: (cue() + joint(), rng.choice(["${" + word().upper() + "_SECRET}", "$PASSWORD", "<your-token>", "{{ token }}", "os.environ[" + word() + "]", "getpass()", "********", "None,None"])),
         lambda: ("data:image/png;base64,", pick(alnum + "+/", rng.randint(60, 200)) + "=="),
         lambda: ("", rng.choice(string.ascii_lowercase) * rng.randint(12, 40)),
         lambda: ("", rng.choice("-=_") * rng.randint(12, 60)),
@@ -180,10 +216,11 @@ def learn_secrets(findings: list[Finding], corpus: CorpusStatistics) -> Forest:
 def scan_secrets(docs: DataFrame, path: str | None = "source", findings: list[Finding] | None = None, least: float = 0.5) -> DataFrame:
     """doc_id, n_candidates, secrets (start, end, score) for every row of ``docs`` (doc_id, text and the column ``path``).
 
-    A candidate is a run of at least 12 of letters, digits and ``+/=_-``, without a leading ``name=``. Those the forest scores ``least`` or more are secrets.
+    A candidate is a run of at least 12 of letters, digits and ``+/=_-``, without a leading ``name=``, or a value of 6 to 128 characters that a name like
+    ``password`` is given. Those the forest scores ``least`` or more, ties among them, are secrets.
     The forest learns from ``findings``, by default made-up ones; its character transitions and dictionary are counted over all texts of
-    ``docs``. Null texts have no candidates, null paths are empty. Repeated rows and null ids are treated like any row; an
-    empty table gives no rows.
+    ``docs``. Null texts have no candidates, null paths are empty. Repeated rows and null ids are treated like any row; very long texts are
+    scanned whole; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), (F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path")

@@ -132,6 +132,57 @@ def pii(text):
     return out
 
 
+def secret_candidates(text):
+    """Candidate spans, character by character: values of telling names first, then long runs that touch none of them."""
+    runs, named = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", []
+    names = ("password", "passwd", "passphrase", "pass", "pwd", "secret", "token", "apikey", "api_key", "credential", "auth", "private_key")
+    for i, c in enumerate(text):
+        if c not in "=:" or (named and i < named[-1][1]):
+            continue
+        before = text[max(0, i - 40) : i].lower()
+        cut = [before[: len(before) - k] for k in range(3) if set(before[len(before) - k :]) <= set(" \t") and k <= len(before)]
+        cut += [b[:-1] for b in cut if b[-1:] in ("'", '"')]
+        tails = {b[len(b) - k :] for b in cut for k in range(len(b) + 1)}
+        if not any(t.startswith(n) and len(t) - len(n) <= 16 and all(x == "_" or (x.isascii() and x.isalnum()) for x in t[len(n) :]) for t in tails for n in names):
+            continue
+        for skip in (2, 1, 0):
+            at = i + 1 + skip
+            if at > len(text) or set(text[i + 1 : at]) - set(" \t"):
+                continue
+            quote = text[at : at + 1]
+            if quote and quote in "'\"":
+                end = at + 1
+                while end < len(text) and text[end] != quote and not text[end].isspace():
+                    end += 1
+                if text[end : end + 1] == quote and 6 <= end - at - 1 <= 128:
+                    named.append((at + 1, end))
+                    break
+            else:
+                end = at
+                while end < len(text) and end - at < 128 and not text[end].isspace() and text[end] not in "\"',;":
+                    end += 1
+                if end - at >= 6:
+                    end = at + len(text[at:end].rstrip(".)]}>"))
+                    if end - at >= 6:
+                        named.append((at, end))
+                    break
+    out, i = list(named), 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in runs:
+            j += 1
+        if j - i >= 12 and not any(a < j and i < b for a, b in named):
+            start, end, body = i, j, text[i:j].rstrip("=")
+            while "=" in body and 2 <= body.index("=") <= 20 and all(x in "_-" or x.isalpha() for x in body[: body.index("=")]):
+                start, body = start + body.index("=") + 1, body[body.index("=") + 1 :]
+            while end > start and text[end - 1] in "-_/":
+                end -= 1
+            if end - start >= 12:
+                out.append((start, end))
+        i = max(j, i + 1)
+    return sorted(out)
+
+
 def spot_signatures(text, anchors, chain=2):
     """Tuples (anchor, content words) of a text, before hashing."""
     w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if x]
