@@ -21,10 +21,12 @@ LOWEST_ID = -(2**63)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, local runs) a temporary folder is made and set once per session.
+    Where it is unset in local mode (tests) a temporary folder is made and set once per session; a cluster must set it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="salegrain-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -176,7 +176,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     consecutive words of an item; an item with fewer words, but one at least, is one window. A document's word is hit
     where it lies in an occurrence of a window. Null texts have no words and hit nothing; items without words match
     nothing; a null item_id is named ''. Repeated items count once by their id. Each row of ``docs`` gets one result,
-    repeated or not. An empty ``docs`` gives no rows; with an empty ``benchmark`` nothing is hit.
+    repeated or not. Very long texts are searched whole; of matches that start at one place each item has its longest. Other columns, whatever
+    their names, are ignored. An empty ``docs`` gives no rows; with an empty ``benchmark`` nothing is hit.
 
     Each task builds suffix arrays of its own shard of documents, a MB of text at a time, and searches them for all
     test suffixes, so no text is shuffled. The test items are broadcast in blocks of at most ``block_bytes`` of text; where there

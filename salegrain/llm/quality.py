@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold
@@ -164,12 +164,17 @@ def fit_network(model: QualityModel, x: np.ndarray, y: np.ndarray, hidden: int =
     model.temperature = float(grid[int(np.argmin(loss))])
 
 
+#: How many rows of one id the sample takes at most.
+COPIES = 4
+
+
 def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 10_000, indexing: Indexing = Indexing()) -> QualityModel:
     """Word vectors from all texts of ``docs``; the network from at most ``sample`` labelled rows outside the held-out fold.
 
     ``labels`` (doc_id, quality): null labels and ids are left out, of conflicting labels the mean is rounded. The
-    sample takes the ids with the least hash; of repeated documents each row counts. With fewer than ten
-    labelled rows or labels of one kind only, every score is their mean; without any it is 0.5.
+    sample takes the ids with the least hash (ties by id); of rows that share an id at most ``COPIES`` count, by the hash of
+    their texts. With fewer than ten
+    labelled rows or labels of one kind only, every score is their mean; without any it is 0.5. Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -185,7 +190,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 10_000, inde
             pooled = [row.tobytes() for row in shared.value.pooled(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), batch.column("doc_id"), pa.array(pooled, pa.binary())], names=["_label", "doc_id", "pooled"])
 
-    joined = texts.join(F.broadcast(known), "doc_id").select("_label", "doc_id", "text")
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    joined = texts.join(F.broadcast(known), "doc_id").withColumn("_copy", copy).where(F.col("_copy") <= COPIES).select("_label", "doc_id", "text")
     rows = sorted((r["doc_id"], r["pooled"], r["_label"]) for r in joined.mapInArrow(run, "_label int, doc_id long, pooled binary").collect())
     x = np.array([np.frombuffer(r[1]) for r in rows]).reshape(len(rows), indexing.dims)
     fit_network(model, x, np.array([r[2] for r in rows], float))
@@ -195,7 +201,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 10_000, inde
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score for every row of ``docs`` (doc_id, text): the probability of label 1, also of null and empty texts.
 
-    Repeated rows and null ids are treated like any row. An empty table gives no rows. Nothing is shuffled.
+    Repeated rows and null ids are treated like any row; equal texts have equal scores. Very long texts are pooled whole, in blocks. Other
+    columns, whatever their names, are ignored. An empty table gives no rows. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

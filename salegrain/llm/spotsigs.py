@@ -127,6 +127,10 @@ def fingerprint_documents(docs: DataFrame, chain: int = 2) -> DataFrame:
     )
 
 
+#: Classes of a signature that one task compares with all others that have it.
+LIST_PART = 1024
+
+
 def similar_documents(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id, n_links for every row of ``signed`` (doc_id, signs): the join of fingerprints with themselves.
 
@@ -135,7 +139,8 @@ def similar_documents(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Classes are partitioned by set length in steps of the threshold, so that a class meets its own partition and the next
     shorter one only. Within, two sets are compared that share one of their rarest n - ceil(threshold * n) + 1
-    signatures, as all similar ones do, and whose lengths allow it. Repeated ids count as one document.
+    signatures, as all similar ones do, and whose lengths allow it. Repeated ids count as one document. Very long sets and other columns
+    are as any; an empty table gives no rows.
     """
     scratch = Scratch(signed.sparkSession, "spots")
     able = signed.where(F.col("doc_id").isNotNull() & (F.size("signs") > 0))
@@ -149,9 +154,14 @@ def similar_documents(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
     prefix = ranked.groupBy("rep", "n").agg(rare.alias("rare")).select("rep", "n", F.explode("rare").alias("x")).where("x.f > 1")
     part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9)
     prefix = scratch.write(prefix.select("rep", "n", F.col("x.sig").alias("sig"), part.alias("part")), "prefix")
-    longer = prefix.select("sig", "part", F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    shorter = prefix.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("part").alias("own"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    met = longer.join(shorter.hint("merge"), ["sig", "part"]).where((F.col("own") < F.col("part")) | (F.col("a") < F.col("b")))
+    # a signature that very many classes have in their prefixes is dealt to several tasks
+    tasks = prefix.groupBy("sig").agg(F.ceil(F.count("*") / LIST_PART).alias("tasks"))
+    dealt = scratch.write(prefix.join(tasks.hint("merge"), "sig"), "dealt")
+    longer = dealt.select("sig", "part", F.pmod(F.xxhash64("rep"), "tasks").alias("task"), F.col("rep").alias("a"), F.col("n").alias("n_a"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task")
+    shorter = dealt.select("sig", "part", every, F.col("rep").alias("b"), F.col("n").alias("n_b"))
+    shorter = shorter.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), "task", F.col("part").alias("own"), "b", "n_b")
+    met = longer.join(shorter.hint("merge"), ["sig", "part", "task"]).where((F.col("own") < F.col("part")) | (F.col("a") < F.col("b")))
     met = met.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9).select("a", "b").distinct()
     sets = classes.select("rep", "signs")
     judged = met.join(sets.select(F.col("rep").alias("a"), F.col("signs").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("signs").alias("t")), "b")
