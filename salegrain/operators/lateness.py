@@ -32,13 +32,17 @@ def too_late_reject(event_time: Column, latest: Column, settings: Settings) -> C
     return F.when(beyond > 0, F.struct(F.lit("demasiado_tardio").alias("motivo"), detail.alias("detalle")))
 
 
-def mark_too_late(validated: DataFrame, settings: Settings, scope: list[str] | None = None) -> DataFrame:
+def mark_too_late(validated: DataFrame, settings: Settings, scope: list[str] | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """``validated`` with a reject for events that are too late in their scope (by default the source partition).
 
     Rejected rows lie below the running maximum, so the maximum over all valid, plausible rows is that of the accepted.
+    ``earlier`` (the scope's columns, latest) holds the latest accepted event times of what came before these rows.
     """
     scope = ["partition"] if scope is None else scope
     plausible = F.when(F.col("reject").isNull(), F.col("sale.event_time"))
     seen = running_max_before(validated.withColumn("_event_time", plausible), "_event_time", "arrival", scope, "_latest")
+    if earlier is not None:
+        known = earlier.select(*scope, F.col("latest").alias("_known"))
+        seen = seen.join(known, scope, "left").withColumn("_latest", F.greatest("_latest", "_known")).drop("_known")
     late = F.when(F.col("reject").isNull(), too_late_reject(F.col("sale.event_time"), F.col("_latest"), settings))
     return seen.withColumn("reject", F.coalesce("reject", late)).drop("_event_time", "_latest")

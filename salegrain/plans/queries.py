@@ -223,7 +223,7 @@ def stream_too_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What that stream sends to the reject table, with its messages."""
     from ..streaming.jobs import run_windowed_totals
 
-    late = run_windowed_totals(spark, sale_records(spark, sf_dir), PRODUCTION)[1]
+    late = run_windowed_totals(spark, sale_records(spark, sf_dir), PRODUCTION)[1].where("motivo = 'demasiado_tardio'")
     return late.select("motivo", "detalle", "event_id", "event_time", "amount_gs", "partition", "arrival", F.get_json_object("mensaje_original", "$.event_id").alias("sent_id"))
 
 
