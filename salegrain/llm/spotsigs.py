@@ -72,22 +72,33 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(sizes == 0, F.lit(1.0)).otherwise(common / (sizes - common))
 
 
+#: What tells a row's place in the order of ids: null ids come first, just before the smallest long; equal ids go by the text's hash.
+KEY = ("_id", "_real", "_th")
+
+
+def keyed_documents(docs: DataFrame) -> DataFrame:
+    """The columns of ``KEY``, and text, null as empty."""
+    return documents_of(docs).select("_id", F.col("doc_id").isNotNull().alias("_real"), "_th", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def following_documents(docs: DataFrame) -> DataFrame:
-    """_id, _th, next_id, next_th: each distinct row's successor by (doc_id, hash of the text), the last's being the first.
+    """``KEY``, half, and next_id, next_real, next_th: each distinct row's successor by ``KEY``, the last's being the first.
 
     Rows are range-partitioned; a successor is looked up within its partition, and only each partition's first row crosses over.
+    ``half`` is how many code points the successor gives to the edited text at most.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = documents_of(docs).select("_id", "_th").distinct()
-    ranged = Scratch(spark, "following").write(keys.repartitionByRange(parts, "_id", "_th").withColumn("_part", F.spark_partition_id()), "ranged")
-    key = F.struct("_id", "_th")
+    half = F.floor(F.length("text") / 2).cast("int").alias("half")
+    keys = keyed_documents(docs).select(*KEY, half).distinct()
+    ranged = Scratch(spark, "following").write(keys.repartitionByRange(parts, *KEY).withColumn("_part", F.spark_partition_id()), "ranged")
+    key = F.struct(*KEY)
     firsts = ranged.groupBy("_part").agg(F.min(key).alias("first"))
     after, every = Window.orderBy("_part"), Window.partitionBy()
     firsts = firsts.select("_part", F.coalesce(F.lead("first").over(after), F.min("first").over(every)).alias("across"))
-    inside = ranged.withColumn("within", F.lead(key).over(Window.partitionBy("_part").orderBy("_id", "_th")))
-    joined = inside.join(firsts, "_part").select("_id", "_th", F.coalesce("within", "across").alias("next"))
-    return joined.select("_id", "_th", F.col("next._id").alias("next_id"), F.col("next._th").alias("next_th"))
+    inside = ranged.withColumn("within", F.lead(key).over(Window.partitionBy("_part").orderBy(*KEY)))
+    joined = inside.join(firsts, "_part").select(*KEY, "half", F.coalesce("within", "across").alias("next"))
+    return joined.select(*KEY, "half", *[F.col(f"next.{c}").alias(f"next{c}") for c in KEY])
 
 
 def fingerprint_documents(docs: DataFrame, chain: int = 2) -> DataFrame:
@@ -95,26 +106,28 @@ def fingerprint_documents(docs: DataFrame, chain: int = 2) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's. Null texts are empty. The next document is the next distinct row by doc_id, of rows that share an id
-    the next by the text's hash; a null id counts as the smallest; a single row follows itself. Repeated rows
+    the next by the text's hash; null ids come first; a single row follows itself. Repeated rows
     give the same result each. Texts are signed whole, however long. Other columns, whatever their names, are ignored. An empty table gives no rows.
+
+    A text is signed where it is read. Its successor gives the document only the start that it needs, and its signatures.
     """
-    source = documents_of(docs).select("doc_id", "_id", "_th", F.coalesce("text", F.lit("")).alias("text"))
+    source = keyed_documents(docs).withColumn("signs", signatures(F.col("text"), chain))
     ahead = following_documents(docs)
-    before = ahead.select(F.col("next_id").alias("_id"), F.col("next_th").alias("_th"), F.col("_id").alias("for_id"), F.col("_th").alias("for_th"))
-    # one of identical rows: lag() shares the join's exchange and sort, and both joins share the texts' exchange
-    repeat = F.lag(F.lit(1)).over(Window.partitionBy("_id", "_th").orderBy("_id", "_th"))
-    nexts = source.drop("doc_id").withColumn("_repeat", repeat).where(F.col("_repeat").isNull()).join(before.hint("merge"), ["_id", "_th"])
-    nexts = nexts.select(F.col("for_id").alias("_id"), F.col("for_th").alias("_th"), F.col("text").alias("next_text"))
-    pairs = source.join(nexts.hint("merge"), ["_id", "_th"])
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    before = ahead.select(*[F.col(f"next{c}").alias(c) for c in KEY], *[F.col(c).alias(f"for{c}") for c in KEY], "half")
+    # one of identical rows: lag() shares the join's exchange and sort, and both joins share the exchange of the signed texts
+    repeat = F.lag(F.lit(1)).over(Window.partitionBy(*KEY).orderBy(*KEY))
+    nexts = source.withColumn("_repeat", repeat).where(F.col("_repeat").isNull()).join(before.hint("merge"), [*KEY])
+    start = F.substring("text", F.lit(1), F.col("half")).alias("next_start")
+    nexts = nexts.select(*[F.col(f"for{c}").alias(c) for c in KEY], start, F.col("signs").alias("next_signs"))
+    pairs = source.join(nexts.hint("merge"), [*KEY])
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.floor(F.length("text") / 2).cast("int")), F.col("next_start"))
     signed = pairs.select(
-        "doc_id",
+        F.when(F.col("_real"), F.col("_id")).alias("doc_id"),
         F.length("text").cast("long").alias("n_chars"),
         edited.alias("edited"),
-        signatures(F.col("text"), chain).alias("signs"),
+        "signs",
         signatures(edited, chain).alias("edited_signs"),
-        signatures(F.col("next_text"), chain).alias("next_signs"),
+        "next_signs",
     )
     return signed.select(
         "doc_id",
