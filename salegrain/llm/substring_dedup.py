@@ -209,14 +209,18 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 6, batches:
 
     place = ["_id", "_th", "loc"]
     found = occurrences.join(met.select("a", "batch", "mixed", "first").hint("merge"), ["a", "batch"])
-    found = scratch.write(found.select("a", "c", *place, "mixed", (F.struct(*place) != F.col("first")).alias("again")), "found")
+    again = F.struct(*place) != F.col("first")
+    found = found.select(*[F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("a", "c")], *place, "mixed").where(F.col("mixed") | again)
+    found = scratch.write(found, "found")
     scratch.drop("anchors")
     scratch.release()
-    settled = found.where(~F.col("mixed") & F.col("again")).select(*place)
+    settled = found.where(~F.col("mixed")).select(*place)
     mixed = found.where("mixed").select("a", "c", *place)
     earlier = met.where("c_old is not null").select("a", F.col("c_old").alias("c"), "first.*")
     firsts = mixed.unionByName(earlier).groupBy("a", "c").agg(F.min(F.struct(*place)).alias("first"))
     firsts = scratch.write(firsts, "firsts", rows=found.count())
+    for batch in range(batches):
+        scratch.drop(f"met-{batch}")
     again = mixed.join(firsts.hint("merge"), ["a", "c"]).where(F.struct(*place) != F.col("first")).select(*place)
     asked = firsts.select("first.*").groupBy("_id", "_th").agg(F.collect_set("loc").alias("locs"))
     windows = source.select("_id", "_th", "text").join(asked.hint("merge"), ["_id", "_th"])
