@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import connected_components
+from .summing import partition_sums
 from .words import SPACED_FOLDED, Words, mix, slices, text_arrays
 
 _U = np.uint64
@@ -144,32 +145,60 @@ def _sign(banding: Banding, width: int):
     return run
 
 
-_SETS = "doc_id long, k1 long, k2 long, n long, parity array<long>, shingles array<long>"
+_PREFIXES = "doc_id long, k1 long, k2 long, n long, parity array<long>, places array<int>, sigs array<long>"
 PARITY_BITS = 512
+#: Slots in which shingles are counted, to tell the frequent ones.
+SLOTS = 1 << 16
 #: Members of a posting list that one task compares with all others of the list.
 LIST_PART = 1024
 
 
-def _sets(width: int):
-    """Each text's set, and its parity: bit i tells whether an odd number of its shingles hash to i."""
+def _slots(values: np.ndarray) -> np.ndarray:
+    return (mix(values + _U(57)) % _U(SLOTS)).astype(np.int64)
+
+
+def _counts(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(SLOTS)
+        for batch in slices(batches, "text"):
+            values, _ = shingle_sets(Words(*text_arrays(batch.column("text")), SPACED_FOLDED), width)
+            total += np.bincount(_slots(values), minlength=SLOTS)
+        return total
+
+    return run
+
+
+def _prefixes(width: int, percent: int, counts):
+    """Each text's rarest shingles with their places, and its parity: bit i tells whether an odd number of its shingles hash to i.
+
+    Rarity is a fixed order of all shingles, by the count of their slot and then by their hash, so similar sets share one
+    of the first n - ceil(percent * n / 100) + 1. Shingles that are alone in their slot are shared with no other text and left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             values, bounds = shingle_sets(Words(*text_arrays(batch.column("text")), SPACED_FOLDED), width)
             n = np.diff(bounds)
+            owner = np.repeat(np.arange(len(n)), n)
             bit = (mix(values + _U(43)) % _U(PARITY_BITS)).astype(np.int64)
-            odd = np.bincount(np.repeat(np.arange(len(n)), n) * PARITY_BITS + bit, minlength=len(n) * PARITY_BITS) & 1
+            odd = np.bincount(owner * PARITY_BITS + bit, minlength=len(n) * PARITY_BITS) & 1
             parity = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            count = counts.value[_slots(values)]
+            order = np.lexsort((values, count, owner))
+            place = np.arange(len(values)) - bounds[:-1][owner]
+            keep = (place < (n - (percent * n + 99) // 100 + 1)[owner]) & (count[order] > 1)
+            kept = np.append(0, np.cumsum(np.bincount(owner[keep], minlength=len(n))))
             keys = []
             for salt in (11, 29):
                 s = np.append(_U(0), np.cumsum(mix(values + _U(salt))))
                 keys.append(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)))
             lists = [
                 pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (PARITY_BITS // 64), pa.int32()), pa.array(parity)),
-                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(place[keep], pa.int32())),
+                pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(values[order][keep].view(np.int64))),
             ]
             columns = [batch.column("doc_id"), *keys, pa.array(n, pa.int64()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n", "parity", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n", "parity", "places", "sigs"])
 
     return run
 
@@ -255,24 +284,20 @@ def _several_stars(scratch: Scratch, divided: DataFrame, banding: Banding, name:
 def _exact_pairs(scratch: Scratch, texts: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of documents of different components that may be similar; no similar pair is missing.
 
-    Similar sets share one of their rarest n - ceil(percent * n / 100) + 1 shingles. Of the pairs that do, those go on whose
+    Similar sets share one of their rarest shingles. Rarity is told by counts in ``SLOTS`` slots, a table of fixed size that
+    every task gets. Of the pairs that share one, those go on whose
     lengths, places of the shared shingle and parities allow the similarity: bits by which two parities differ are never
     more than the shingles by which the sets do. Only lists of a shingle that hold several components are joined,
     long ones by several tasks.
     """
     row = ["doc_id", "k1", "k2", "n"]
-    sets = texts.mapInArrow(_sets(width), _SETS).groupBy(*row).agg(F.first("parity").alias("parity"), F.first("shingles").alias("shingles"))
-    sets = scratch.write(sets, "sets")
-    each = sets.select(*row, F.explode("shingles").alias("sig"))
-    counts = scratch.write(each.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1"), "counts")
-    ranked = each.join(counts.hint("merge"), "sig", "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    length = (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).cast("int")
-    rare = ranked.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("f", "sig"))).alias("all"))
-    rare = rare.select(*row, F.posexplode(F.slice("all", F.lit(1), length)).alias("place", "x")).where("x.f > 1")
-    placed = sets.select("doc_id", "k1", "k2", "parity").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    counts = scratch.spark.sparkContext.broadcast(partition_sums(texts.select("text"), _counts(width), SLOTS))
+    sets = texts.mapInArrow(_prefixes(width, percent, counts), _PREFIXES).groupBy(*row)
+    sets = scratch.write(sets.agg(*[F.first(c).alias(c) for c in ("parity", "places", "sigs")]), "sets")
+    placed = sets.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
-    prefix = rare.select(*row, (F.col("n") - F.col("place")).alias("rest"), F.col("x.sig").alias("sig")).join(placed, ["doc_id", "k1", "k2"])
-    prefix = scratch.write(prefix, "prefix")
+    prefix = placed.select(*row, "parity", "component", F.inline(F.arrays_zip(F.col("places").alias("place"), F.col("sigs").alias("sig"))))
+    prefix = scratch.write(prefix.withColumn("rest", F.col("n") - F.col("place")).drop("place"), "prefix")
     several = prefix.groupBy("sig").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high"))
     several = scratch.write(several.where("low < high").select("sig", F.ceil(F.col("f") / LIST_PART).alias("tasks")), "lists")
     lists = scratch.write(prefix.join(several.hint("merge"), "sig"), "listed")
@@ -299,7 +324,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, banding: Band
     lower-cased); a shorter text has its whole sequence as one shingle, a text without words or a null text has none
     and links with nothing. Documents link where 100 * intersection >= ``percent`` * union. component_id is the smallest
     doc_id reachable, kept whether it is the row's own. Rows that share a doc_id are one node. A row with a null doc_id
-    links with nothing: its component_id is null and it is kept. An empty table gives no rows.
+    links with nothing: its component_id is null and it is kept. Very long texts are hashed whole. Of equally central members of a
+    bucket the smallest id is the centre, which changes no result. Other columns, whatever their names, are ignored. An empty table gives no rows.
 
     Equal sets (by size and 128-bit hash) are one class, and only a class's smallest id goes on. Members of a bucket get
     edges to its most central member: n - 1 for a bucket of n. Of buckets that then still hold several components, those

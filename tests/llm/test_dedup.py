@@ -167,6 +167,19 @@ def test_near_of_crowds_at_80_percent_needs_no_fine_bands(docs_of):
     assert {(r.doc_id, r.component_id) for r in found.collect()} == {(d, c) for d, (_, c) in want.items()}
 
 
+@pytest.mark.parametrize(("width", "percent", "core", "own"), [(3, 85, 402, 36), (5, 80, 404, 51)])
+def test_near_of_a_crowd_just_below_the_threshold(docs_of, width, percent, core, own):
+    """800 texts on one core, any two little less similar than asked; 400 pairs share a word more and are linked."""
+    rng = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(core)]
+    pairs = [(i, " ".join([*common, f"p{i // 2}", *[f"d{i}-{k}" for k in range(own - 1)]])) for i in range(800)]
+    sets = [brute.shingles(text, width) for _, text in pairs[:3]]
+    similar = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    assert similar(sets[0], sets[1]) and not similar(sets[1], sets[2])
+    found = near.near_dedup(docs_of([pairs[i] for i in rng.permutation(800)]), width, percent)
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(i, i // 2 * 2) for i in range(800)}
+
+
 def test_near_of_repeated_rows_and_null_ids(docs_of):
     text = "some words that stand in a row for a while"
     found = near.near_dedup(docs_of([(None, text), (9, text), (9, text), (3, text), (9, "quite another text of some words")]), 3, 85)
