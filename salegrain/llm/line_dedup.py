@@ -66,6 +66,7 @@ class LineIndex:
         self.runs = SortedRuns(spark, "line-runs", ["h1", "h2"], {"n_docs": "sum", "last_id": "max"}, fanout)
         self.scratch = Scratch(spark, "line-batches")
         self.keepers: list[DataFrame] = []
+        self._corrections = 0
 
     def hashes(self, docs: DataFrame) -> DataFrame:
         """_id, _th, h1, h2, pos, first for every long line of ``docs`` (doc_id, text)."""
@@ -91,7 +92,9 @@ class LineIndex:
         for more in self.keepers[1:]:
             keepers = keepers.unionByName(more)
         common = self.runs.read().where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
-        common = keepers.join(common.hint("merge"), ["h1", "h2"])
+        # written, so that the next join has two shuffles and a line of very many documents is dealt to several tasks
+        self._corrections += 1
+        common = self.scratch.write(keepers.join(common.hint("merge"), ["h1", "h2"]), f"common-{self._corrections}")
         return (
             hashes.join(common.hint("merge"), ["h1", "h2"])
             .where(F.col("_id") != F.col("last_id"))
